@@ -17,6 +17,10 @@ from ..functions.classify import (
 from ..functions.text import filled, or_else
 
 
+SECURITY_TEXT = "Finding '%s' falls under %s (%s)."
+PRIVACY_TEXT = "Finding '%s' relates to %s (%s) as it involves processing of personal data."
+
+
 def classify(findings: DataFrame) -> DataFrame:
     """Adds ``resolved_type``: preset type, rule, or default."""
     return findings.withColumn("resolved_type", finding_type())
@@ -129,7 +133,7 @@ def _picked(findings: DataFrame, frameworks: Iterable[str]) -> DataFrame:
 def security_controls(findings: DataFrame) -> DataFrame:
     """SOC 2 and ISO 27001 rows with the template explanation."""
     text = F.format_string(
-        "Finding '%s' falls under %s (%s).",
+        SECURITY_TEXT,
         F.coalesce("title", F.lit("")), F.col("control_name"), F.col("control_id"),
     )
     return _picked(findings, ("soc2", "iso27001")).withColumn("explanation", text)
@@ -149,7 +153,7 @@ def with_entry(findings: DataFrame) -> DataFrame:
 def fallback_privacy(findings: DataFrame) -> DataFrame:
     """GDPR and DPDP rows from the catalogue, for findings no curated entry covers."""
     text = F.format_string(
-        "Finding '%s' relates to %s (%s) as it involves processing of personal data.",
+        PRIVACY_TEXT,
         F.coalesce("title", F.lit("")), F.col("control_name"), F.col("control_id"),
     )
     rest = with_entry(findings).where("entry is null")
@@ -158,12 +162,52 @@ def fallback_privacy(findings: DataFrame) -> DataFrame:
 
 def map_privacy(findings: DataFrame) -> DataFrame:
     """Curated and fallback rows together."""
-    return curated_privacy(findings).unionByName(fallback_privacy(findings)).drop("entry")
+    return _exploded(findings, security=False)
 
 
 def mapped_controls(findings: DataFrame) -> DataFrame:
     """All mapped rows of classified findings: one per (finding, framework)."""
-    return security_controls(findings).unionByName(map_privacy(findings))
+    return _exploded(findings, security=True)
+
+
+def _exploded(findings: DataFrame, security: bool) -> DataFrame:
+    """``security_controls``, ``curated_privacy`` and ``fallback_privacy`` in one pass.
+
+    The rows of a type and of a curated entry come as arrays, so a finding meets
+    each dimension once and is exploded once.
+    """
+    row = "array<struct<framework string, control_id string, control_name string, text string>>"
+    by_type, by_entry = {}, {}
+    for kind, *control in controls.chosen_rows():
+        by_type.setdefault(kind, []).append((*control, None))
+    for entry, *control in privacy.curated_rows():
+        by_entry.setdefault(entry, []).append(tuple(control))
+    spark = findings.sparkSession
+    picks = spark.createDataFrame(list(by_type.items()), f"_known string, _picks {row}")
+    curated = spark.createDataFrame(list(by_entry.items()), f"entry int, _curated {row}")
+
+    private = lambda c: c["framework"].isin(*controls.PRIVACY_FRAMEWORKS)
+    open_type = ~F.col("resolved_type").isin(*controls.PRIVACY_EXCLUDED_TYPES)
+    fallback = F.when(F.col("entry").isNull() & open_type, F.filter("_picks", private))
+    chosen = F.coalesce("_curated", fallback, F.array().cast(row))
+    if security:
+        chosen = F.concat(F.filter("_picks", lambda c: ~private(c)), chosen)
+    rows = (
+        with_entry(findings)
+        .withColumn("_known", known_type(F.col("resolved_type")))
+        .join(F.broadcast(picks), "_known")
+        .join(F.broadcast(curated), "entry", "left")
+        .select(*findings.columns, F.explode(chosen).alias("c"))
+    )
+    title = F.coalesce("title", F.lit(""))
+    template = F.when(
+        private(F.col("c")),
+        F.format_string(PRIVACY_TEXT, title, F.col("c.control_name"), F.col("c.control_id")),
+    ).otherwise(F.format_string(SECURITY_TEXT, title, F.col("c.control_name"), F.col("c.control_id")))
+    return rows.select(
+        *findings.columns, "c.framework", "c.control_id", "c.control_name",
+        F.coalesce("c.text", template).alias("explanation"),
+    )
 
 
 def privacy_flag(findings: DataFrame) -> DataFrame:

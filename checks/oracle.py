@@ -196,3 +196,12 @@ def with_(*parts: str) -> str:
 
 def inputs(*names: str) -> str:
     return derived.cte(*names)
+
+
+def sql_list(values) -> str:
+    return sql_literal(list(values))
+
+
+def values_list(rows, columns: str) -> str:
+    """Rows as a derived table to be named by the query."""
+    return f"(SELECT * FROM {values_sql(rows, columns)})"

@@ -1,72 +1,6 @@
-"""The checked queries: name, Spark job and DuckDB text."""
+"""All checked queries."""
 
-from __future__ import annotations
+from . import q_audit, q_content, q_packages, q_repos, q_sources, q_streams  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from auditloom.dims import controls
-from auditloom.functions.severity import SEVERITIES
-from auditloom.operators import content, mapping, merge, scoring
-from auditloom.plans import audit
-
-from . import oracle as O
-from .derived import view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def check(name: str, sql: str | None = None):
-    def register(job):
-        QUERIES[name] = job
-        if sql is not None:
-            ORACLES[name] = sql
-        return job
-
-    return register
-
-
-# --------------------------------------------------------------------------- flagship
-
-def document_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = view(spark, sf, "documents")
-    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("pos"), path.alias("path"), "text")
-
-
-def all_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings of the derived repositories and of the document scan."""
-    scanned = content.content_findings(content.content_scan(document_texts(spark, sf)))
-    return merge.as_findings(view(spark, sf, "d_findings")).unionByName(merge.as_findings(scanned, "secrets"))
-
-
-def all_repos(spark: SparkSession, sf: str) -> DataFrame:
-    ids = view(spark, sf, "d_findings").select("repo_id")
-    return ids.unionByName(view(spark, sf, "documents").select(F.col("source").alias("repo_id"))).distinct()
-
-
-ALL_FINDINGS = [
-    O.inputs("d_findings"),
-    O.content_hits("hits"),
-    """all_f AS (
-        SELECT repo_id, src_ord, pos, tool, severity, title, description, file_path, rule_id, finding_type, remediation FROM d_findings
-        UNION ALL
-        SELECT source, 3, doc_id, 'secrets', severity, title,
-               title || ' found ' || n || ' time(s) in docs/' || doc_id || '.txt', 'docs/' || doc_id || '.txt', rule_id, NULL, NULL
-        FROM hits)""",
-    "all_r AS (SELECT repo_id FROM d_findings UNION SELECT source FROM documents)",
-]
-MAPPED_ALL = [*ALL_FINDINGS, O.dedup("all_f", "u"), O.preset_cve("u", "t"), O.classify("t", "c"), O.mapped("c", "m")]
-REPORT_COLUMNS = (
-    "repo_id, overall_score, " + ", ".join(f"score_{f}" for f in controls.FRAMEWORKS) + ", " + ", ".join(SEVERITIES)
-    + ", total_findings, " + ", ".join(f"findings_{f}" for f in controls.FRAMEWORKS) + ", "
-    + ", ".join(f"controls_{f}" for f in controls.FRAMEWORKS)
-)
-REPORT = [*MAPPED_ALL, O.scores("m", "all_r", "s"), O.report("s", "all_r")]
-
-
-@check("audit_report", O.with_(*REPORT) + f" SELECT {REPORT_COLUMNS}, {O.SUMMARY} AS executive_summary FROM s_report")
-def audit_report(spark, sf):
-    return audit.audit_report(all_findings(spark, sf), all_repos(spark, sf))
+__all__ = ["ORACLES", "QUERIES"]
