@@ -128,8 +128,8 @@ VIEWS = {
           ON (e.event_id * 7 + e.user_id) % {len(SEVERITY_WORDS)} = s.i""",
     # One vulnerability per line item, of the package (part) in the repository (supplier)
     "d_vulns": """
-        SELECT CAST(l_suppkey AS STRING) AS repo_id, 'pkg-' || CAST(l_partkey AS STRING) AS package,
-               l_orderkey * 8 + l_linenumber AS pos,
+        SELECT CAST(l_suppkey % 10 AS STRING) AS repo_id, 'pkg-' || CAST(l_partkey AS STRING) AS package,
+               (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS pos, l_orderkey * 8 + l_linenumber AS report_no,
                'CVE-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id,
                CASE WHEN l_linestatus = 'F' THEN NULL
                     WHEN l_linenumber % 5 = 0 THEN 'Denial of service in parser'
@@ -143,7 +143,7 @@ VIEWS = {
                  WHEN 2 THEN 'CVSS:3.1/AV:N/AC:L' END AS score
         FROM @lineitem""",
     "d_releases": """
-        SELECT CAST(l_suppkey AS STRING) AS repo_id, 'pkg-' || CAST(l_partkey AS STRING) AS package, l_shipdate AS ts
+        SELECT CAST(l_suppkey % 10 AS STRING) AS repo_id, 'pkg-' || CAST(l_partkey AS STRING) AS package, l_shipdate AS ts
         FROM @lineitem""",
     "d_components": f"""
         SELECT CAST(p.p_partkey % 40 AS STRING) AS repo_id, p.p_partkey AS pos,
@@ -158,7 +158,7 @@ VIEWS = {
         JOIN (SELECT * FROM {_values(LICENSES, "license")}) a ON (p.p_partkey * 3) % {len(LICENSES)} = a.i
         JOIN (SELECT * FROM {_values(LICENSES, "license")}) b ON (p.p_partkey * 5 + p.p_size) % {len(LICENSES)} = b.i""",
     "d_steps": f"""
-        SELECT CAST(v.conv_id % 20 AS STRING) AS repo_id,
+        SELECT CAST(v.conv_id % 50 AS STRING) AS repo_id,
                '.github/workflows/w' || CAST(v.conv_id AS STRING) || '.yml' AS file_path,
                'flow ' || CAST(v.conv_id AS STRING) AS wf_name, v.role AS job, v.turn AS step_no,
                c.run, c.uses, c.env_key, c.env_value
@@ -230,7 +230,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for other in used:
         view(spark, sf_dir, other).createOrReplaceTempView(f"auditloom_{other}")
         text = re.sub(rf"(FROM|JOIN) @{other}\b", rf"\1 auditloom_{other}", text)
-    return spark.sql(text)
+    # Spark would take "${...}" for a configuration variable
+    return spark.sql(text.replace("${", "$' || '{"))
 
 
 def cte(*names: str) -> str:

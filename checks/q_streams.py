@@ -1,0 +1,181 @@
+"""Progress, rates and the streaming jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditloom.operators import progress, rates
+from auditloom.plans import audit
+from auditloom.session import new_folder
+from auditloom.streaming import progress as sprogress, rates as srates
+
+from . import oracle as O
+from .derived import view
+from .registry import check
+
+STATUS = f"""{O.inputs("d_node_events")},
+    o AS (SELECT *, row_number() OVER (PARTITION BY audit_id, node ORDER BY ts DESC, event_id DESC) AS k,
+            row_number() OVER (PARTITION BY audit_id, node, error IS NULL ORDER BY ts DESC, event_id DESC) AS ke FROM d_node_events),
+    st AS (SELECT audit_id, node, max(CASE WHEN k = 1 THEN status END) AS status,
+            strftime(min(CASE WHEN status = 'running' THEN ts END), '%Y-%m-%d %H:%M:%S') AS started_at,
+            strftime(min(CASE WHEN status IN ('completed', 'skipped', 'error') THEN ts END), '%Y-%m-%d %H:%M:%S') AS completed_at,
+            max(CASE WHEN ke = 1 THEN error END) AS error FROM o GROUP BY 1, 2)"""
+
+
+def _shown(df):
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return df.select("audit_id", "node", "status", F.date_format("started_at", fmt).alias("started_at"),
+                     F.date_format("completed_at", fmt).alias("completed_at"), "error")
+
+
+@check("node_status", O.with_(STATUS) + " SELECT * FROM st")
+def node_status(spark, sf):
+    return _shown(progress.node_status(view(spark, sf, "d_node_events")))
+
+
+@check("audit_status", O.with_(STATUS) + """
+    SELECT audit_id, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_and(status <> 'running') THEN 'completed' ELSE 'running' END AS status,
+           count(*) AS nodes FROM st GROUP BY 1""")
+def audit_status(spark, sf):
+    return progress.audit_status(progress.node_status(view(spark, sf, "d_node_events")))
+
+
+@check("scan_completeness", O.with_(O.inputs("d_node_events")) + f"""
+    SELECT audit_id, CAST(count(DISTINCT CASE WHEN status <> 'running' THEN node END) AS INTEGER) AS reported,
+           count(DISTINCT CASE WHEN status <> 'running' THEN node END) = 9 AS complete
+    FROM d_node_events WHERE node IN {O.in_list(progress.SCANNERS)} GROUP BY 1""")
+def scan_completeness(spark, sf):
+    return progress.scan_completeness(view(spark, sf, "d_node_events"))
+
+
+def _requests(spark, sf):
+    return view(spark, sf, "events").select(F.col("user_id").alias("client"), "ts", "event_id")
+
+
+@check("burst_counts", """
+    SELECT user_id AS client, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
+           RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM events""")
+def burst_counts(spark, sf):
+    return rates.burst_counts(_requests(spark, sf), 3600).select("client", "event_id", "n")
+
+
+RATE_WINDOW = 48 * 3600
+
+
+@check("rate_decisions")
+def rate_decisions(spark, sf):
+    """A fold over each client's requests; tested against a plain loop."""
+    return rates.rate_decisions(_requests(spark, sf), 10, RATE_WINDOW)
+
+
+@check("idle_clients", """
+    SELECT user_id AS client, max(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 3600 SECOND AS idle FROM events GROUP BY 1""")
+def idle_clients(spark, sf):
+    return rates.idle_clients(_requests(spark, sf), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3600).select("client", "idle")
+
+
+# --------------------------------------------------------------------------- streams
+
+def _event_stream(spark, sf):
+    """The events table as a file stream."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+NODES = ["semgrep", "osv", "github", "scan_secrets_pii", "scan_repo_governance", "scan_sbom_license", "scan_iac_config",
+         "scan_cicd_security", "scan_data_classification", "orchestrator", "fan_out"]
+
+
+def _node(expr: str):
+    return F.element_at(F.array(*map(F.lit, NODES)), F.expr(f"cast(({expr}) % 11 + 1 as int)"))
+
+
+@check("progress_stream", O.with_(STATUS) + " SELECT * FROM st")
+def progress_stream(spark, sf):
+    state = F.col("event_id") % 7
+    status = F.when(state == 0, "error").when(state.isin(1, 2), "running").when(state == 3, "skipped").otherwise("completed")
+    events = _event_stream(spark, sf).select(
+        F.col("user_id").cast("string").alias("audit_id"), _node("event_id * 3 + user_id").alias("node"), "ts", "event_id",
+        status.alias("status"), F.when(state == 0, F.concat(F.lit("failed at "), F.col("event_id").cast("string"))).alias("error"),
+    )
+    # The events of the file are one batch, in any order, so nothing may count as late.
+    out = new_folder(spark, "progress")
+    sprogress.write_updates(
+        sprogress.progress_stream(events, "10 minutes"), f"{out}/table", f"{out}/checkpoint"
+    ).awaitTermination()
+    return _shown(sprogress.latest_updates(spark, f"{out}/table", ["audit_id", "node"]))
+
+
+@check("rate_decision_stream")
+def rate_decision_stream(spark, sf):
+    """The decisions of ``rate_decisions`` on a stream; equal to it by test."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    requests = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
+    out = new_folder(spark, "rates")
+    sprogress.write_updates(
+        srates.rate_decision_stream(requests, 10, RATE_WINDOW), f"{out}/table", f"{out}/checkpoint", "append"
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/table").select(F.col("client").cast("bigint").alias("client"), "event_id", "allowed")
+
+
+@check("burst_count_stream", """
+    WITH s AS (SELECT user_id, time_bucket(INTERVAL '6 hours', ts) AS b FROM events),
+    w AS (SELECT user_id, b - k.o * INTERVAL '6 hours' AS window_start FROM s, (VALUES (0), (1), (2), (3)) AS k(o))
+    SELECT user_id AS client, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM w GROUP BY 1, 2""")
+def burst_count_stream(spark, sf):
+    """Sliding windows of a day, every six hours; the stream ends, so all windows are taken in update mode."""
+    requests = _event_stream(spark, sf).select(F.col("user_id").alias("client"), "ts")
+    out = new_folder(spark, "bursts")
+    sprogress.write_updates(
+        srates.burst_count_stream(requests, 86400, 21600), f"{out}/table", f"{out}/checkpoint"
+    ).awaitTermination()
+    latest = sprogress.latest_updates(spark, f"{out}/table", ["client", "window_start"])
+    return latest.select("client", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+# Audits of the stream are users; each event is a finding of one scanner.
+STREAMED = [
+    """sf0 AS (SELECT CAST(user_id AS STRING) AS repo_id, event_id % 9 AS node_no, 0 AS src_ord, event_id AS pos,
+            'semgrep' AS tool, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+            'Rule ' || event_type AS title, 'Text' AS description, NULL AS file_path,
+            CASE event_id % 5 WHEN 0 THEN 'a.sqli' WHEN 1 THEN 'b.hardcoded-password' WHEN 2 THEN 'c.xss' WHEN 3 THEN 'd.redos' ELSE 'e.plain' END AS rule_id,
+            NULL AS finding_type, NULL AS remediation FROM events)""",
+    "full_a AS (SELECT repo_id FROM sf0 GROUP BY 1 HAVING count(DISTINCT node_no) = 9)",
+    "sf1 AS (SELECT * FROM sf0 WHERE repo_id IN (SELECT repo_id FROM full_a))",
+    O.dedup("sf1", "u"), O.preset_cve("u", "t"), O.classify("t", "c"), O.mapped("c", "m"), O.scores("m", "full_a", "s"), O.report("s", "full_a"),
+]
+
+
+@check("incremental_findings", O.with_(*STREAMED) + """
+    SELECT repo_id AS audit_id, overall_score, score_soc2, score_gdpr, critical, high, medium, low FROM s_report""")
+def incremental_findings(spark, sf):
+    e = F.col("event_id")
+    severity = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (e % 4 + 1).cast("int"))
+    rule = F.element_at(F.array(*map(F.lit, ["a.sqli", "b.hardcoded-password", "c.xss", "d.redos", "e.plain"])), (e % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    findings = _event_stream(spark, sf).select(
+        F.col("user_id").cast("string").alias("audit_id"),
+        F.element_at(F.array(*map(F.lit, NODES[:9])), (e % 9 + 1).cast("int")).alias("node"),
+        F.lit(0).alias("src_ord"), e.alias("pos"), F.lit("semgrep").alias("tool"), severity.alias("severity"),
+        F.concat(F.lit("Rule "), "event_type").alias("title"), F.lit("Text").alias("description"), none.alias("file_path"),
+        rule.alias("rule_id"), none.alias("finding_type"), none.alias("remediation"),
+    )
+    out = new_folder(spark, "incremental")
+    sprogress.incremental_findings(findings, f"{out}/tables", f"{out}/checkpoint", audit.audit_report).awaitTermination()
+    return spark.read.parquet(f"{out}/tables/reports").select(
+        "audit_id", "overall_score", "score_soc2", "score_gdpr", "critical", "high", "medium", "low"
+    )
+
+
+@check("live_results", """
+    SELECT CAST(event_id AS STRING) AS result_id FROM events
+    WHERE event_id % 3 = 0 OR ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 600 SECOND""")
+def live_results(spark, sf):
+    results = view(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("result_id"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("first_read")
+    )
+    return sprogress.live_results(results, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("result_id")
