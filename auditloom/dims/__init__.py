@@ -29,7 +29,7 @@ TABLES = {
         lambda: list(enumerate(controls.FRAMEWORKS)),
     ),
     "content_patterns": (
-        "rule_no int, rule_id string, severity string, title string, literal string, pattern string",
+        "rule_no int, rule_id string, severity string, title string, test string, pattern string",
         lambda: [(i, *row) for i, row in enumerate(tools.CONTENT_PATTERNS)],
     ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import has_any, strip
+from .text import once, strip
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
@@ -38,22 +38,25 @@ def vuln_severity(score: Column) -> Column:
     A label wins wherever it occurs; else the text before the first ``/`` is
     read as a number.  What is not a number (a vector, for one) is medium.
     """
-    text = F.lower(score)
-    head = strip(F.split_part(text, F.lit("/"), F.lit(1)))
-    number = F.when(head.rlike(NUMBER), head.try_cast("double"))
-    case = F.when(score.isNull(), "medium")
-    for label in ("critical", "high", "medium", "low"):
-        case = case.when(text.contains(label), label)
-    return (
-        case.when(head.rlike(r"^[+-]?nan$"), "low")
-        .when(head.rlike(r"^\+?inf(?:inity)?$"), "critical")
-        .when(head.rlike(r"^-inf(?:inity)?$"), "low")
-        .when(number >= 9, "critical")
-        .when(number >= 7, "high")
-        .when(number >= 4, "medium")
-        .when(number.isNotNull(), "low")
-        .otherwise("medium")
-    )
+    def by_number(n: Column) -> Column:
+        return (
+            F.when(n.isNull(), "medium").when(n >= 9, "critical").when(n >= 7, "high").when(n >= 4, "medium").otherwise("low")
+        )
+
+    def by_head(head: Column) -> Column:
+        return (
+            F.when(head.rlike(r"^(?:[+-]?nan|-inf(?:inity)?)$"), "low")
+            .when(head.rlike(r"^\+?inf(?:inity)?$"), "critical")
+            .otherwise(once(F.when(head.rlike(NUMBER), head.try_cast("double")), by_number))
+        )
+
+    def by_text(text: Column) -> Column:
+        case = F.when(text.isNull(), "medium")
+        for label in ("critical", "high", "medium", "low"):
+            case = case.when(text.contains(label), label)
+        return case.otherwise(once(strip(F.split_part(text, F.lit("/"), F.lit(1))), by_head))
+
+    return once(F.lower(score), by_text)
 
 
 def iac_severity(level: Column, check_name: Column) -> Column:

@@ -43,3 +43,11 @@ def words_pattern(words, whole=()) -> str:
 
 def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def once(col: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    In a CASE the value would be computed again in every branch that is reached.
+    """
+    return F.get(F.transform(F.array(col), body), F.lit(0))

@@ -35,3 +35,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting, so a side that outgrows the limit is shuffled."""
     small = df.limit(limit + 1).agg(F.count("*").alias("n")).first()["n"] <= limit
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Rows over all cores when the input comes in fewer partitions than there are cores.
+
+    For CPU-heavy row-local work on small inputs, which may sit in a single file
+    block.  Large inputs have more partitions than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
