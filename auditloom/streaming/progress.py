@@ -58,7 +58,7 @@ def incremental_findings(
     stream: DataFrame,
     root: str,
     checkpoint: str,
-    report: Callable[[DataFrame], DataFrame],
+    report: Callable[[DataFrame, DataFrame], DataFrame],
     scanners=SCANNERS,
     **trigger,
 ):
@@ -99,9 +99,8 @@ def incremental_findings(
             complete = complete.join(done, "audit_id", "left_anti")
         rows = stored.join(complete, "audit_id", "left_semi").where("tool is not null")
         findings = rows.withColumn("repo_id", F.col("audit_id")).select(*[c.split(" ")[0] for c in columns])
-        reports = report(findings).withColumnRenamed("repo_id", "audit_id")
-        # An audit whose scanners found nothing is reported as well.
-        full = complete.join(reports, "audit_id", "left")
+        # The repositories are given as well: an audit without findings has a report, too.
+        full = report(findings, complete.withColumnRenamed("audit_id", "repo_id")).withColumnRenamed("repo_id", "audit_id")
         full.write.mode("overwrite").parquet(f"{root}/reports/batch={batch_id}")
 
     return (
