@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def carry_forward(
     df: DataFrame, keys, order: str, value: str, name: str, block_rows: int = 100_000
 ) -> DataFrame:
-    """Last non-NULL ``value`` at or before each row, per key, in ``order`` (a whole number)."""
+    """Last non-NULL ``value`` at or before each row, per key, in ``order`` (a whole number).
+
+    The input is read twice, the second time only its key, order and value columns; give a stored table where it is costly to make.
+    """
     keys = list(keys)
     blocked = df.withColumn("_block", F.floor(F.col(order) / block_rows))
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -26,7 +29,7 @@ def carry_forward(
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_block", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     return (
-        local.join(carried, [*keys, "_block"])
+        local.join(carried, [*keys, "_block"], "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
         .drop("_block", "_local", "_carried")
     )

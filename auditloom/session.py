@@ -1,11 +1,11 @@
-"""Session helpers: shared scratch folder and checked broadcast."""
+"""Session helpers: shared scratch folder, row limit of broadcasts, spreading of small inputs."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows up to this count, of bounded width, may be sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -31,12 +31,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/auditloom/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting, so a side that outgrows the limit is shuffled."""
-    small = df.limit(limit + 1).agg(F.count("*").alias("n")).first()["n"] <= limit
-    return F.broadcast(df) if small else df
-
-
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Rows over all cores when the input comes in fewer partitions than there are cores.
 

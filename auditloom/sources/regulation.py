@@ -73,5 +73,7 @@ def segment_rules(lines: DataFrame) -> DataFrame:
     pieces = segment(lines, F.col("line").rlike(RULE)).withColumn(
         "number", F.regexp_extract("heading", RULE, 1).try_cast("bigint")
     )
-    first = pieces.groupBy("doc_id", "number").agg(F.min("start_line").alias("start_line"))
-    return _chunks(pieces.join(first, ["doc_id", "number", "start_line"], "left_semi"), "dpdp", "dpdp_rule_", "rule")
+    first = pieces.groupBy("doc_id", "number").agg(
+        F.min_by(F.struct("start_line", "content"), "start_line").alias("c")
+    )
+    return _chunks(first.select("doc_id", "number", "c.*"), "dpdp", "dpdp_rule_", "rule")

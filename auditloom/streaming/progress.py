@@ -75,7 +75,7 @@ def incremental_findings(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("audit_id"), F.lit(BUCKETS)).cast("int"))
-        bucketed.withColumn("bucket_of", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(
             f"{root}/findings/batch={batch_id}"
         )
         mine = spark.read.parquet(f"{root}/findings/batch={batch_id}")

@@ -33,6 +33,15 @@ def rows_of(names, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def type_notes(df, description) -> str:
+    theirs = {d[0]: str(d[1]) for d in description}
+    notes = [f"{n} {t}/{theirs.get(n)}" for n, t in df.dtypes if n in theirs and TYPES.get(t, t) != theirs[n]]
+    return "  types: " + ", ".join(notes) if notes else ""
+
+
 def main(argv):
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
@@ -56,6 +65,7 @@ def main(argv):
                 a, b = rows_of(df.columns, got), rows_of(columns, want)
                 same = sorted(df.columns) == sorted(columns) and a == b
                 line += f"  duckdb {time.time() - start:5.2f}s  {'ok' if same else 'DIFFERENT'}"
+                line += type_notes(df, cur.description)
                 if not want:
                     line += " (empty)"
                 if not same:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import content, corpus, mapping
 from auditloom.operators.data_fields import carry_model
+from auditloom.session import new_folder
 from auditloom.sources import regulation, store
 
 from . import oracle as O
@@ -155,7 +156,10 @@ def _vectors(spark, sf):
 def match_chunks(spark, sf):
     """For each framework the three chunks nearest to its mean vector."""
     chunks = _vectors(spark, sf)
-    queries = corpus.framework_centroids(chunks)
+    # One row per framework, stored so that counting and sending it does not read the chunks again.
+    path = new_folder(spark, "centroids")
+    corpus.framework_centroids(chunks).write.parquet(path)
+    queries = spark.read.parquet(path)
     return corpus.match_chunks(queries, chunks, 3).select(
         "query_id", "id", "rank", F.round("similarity", 6).alias("similarity")
     )

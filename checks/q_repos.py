@@ -152,7 +152,7 @@ STEP_TEXT = "lower(concat_ws(' ', run, uses, env_key, env_value, job))"
 @check("missing_sast_gate", O.with_(O.inputs("d_steps")) + f"""
     SELECT repo_id, 'low' AS severity, 'No SAST gate in CI/CD' AS title, 'None of the ' || count(DISTINCT file_path)
            || ' workflow files in this repository include a SAST or security scanning step. Consider adding CodeQL, Semgrep, or Snyk to pull request workflows.' AS description,
-           NULL AS file_path, 'cicd_missing_sast_gate' AS rule_id, 'missing_sast_gate' AS finding_type
+           CAST(NULL AS VARCHAR) AS file_path, 'cicd_missing_sast_gate' AS rule_id, 'missing_sast_gate' AS finding_type
     FROM d_steps GROUP BY repo_id HAVING NOT bool_or({O.any_contains(STEP_TEXT, tools.SAST_TOOLS)})""")
 def missing_sast_gate(spark, sf):
     s = steps(spark, sf)

@@ -90,7 +90,7 @@ IAC_CHECKS = f"""
              CASE WHEN page_id % 2 = 0 THEN '/p' || page_id || '.tf' ELSE '/other' END AS file_path
              FROM pages p JOIN chk c ON p.page_id % {len(CHECKS)} = c.i),
     got AS (SELECT *, page_id * 16777216 AS pos FROM page WHERE shape IN (0, 1, 2, 3)
-            UNION ALL SELECT *, page_id * 16777216 + 131072 FROM page WHERE shape = 2)"""
+            UNION ALL SELECT *, page_id * 16777216 + 1 FROM page WHERE shape = 2)"""
 IAC_COLUMNS = ["repo_id", "pos", "severity", "title", "description", "file_path", "rule_id", "finding_type"]
 
 
@@ -233,7 +233,7 @@ def schema_fields(spark, sf):
 
 @check("workflow_parse", O.with_(O.inputs("d_steps")) + """
     SELECT repo_id, '.github/workflows/' || replace(wf_name, ' ', '-') || '-' || step_no || '.yaml' AS file_path, wf_name, k.job,
-           k.n AS step_no, CASE k.n WHEN 0 THEN coalesce(run, '') WHEN 1 THEN 'make' ELSE '' END AS run,
+           CAST(k.n AS BIGINT) AS step_no, CASE k.n WHEN 0 THEN coalesce(run, '') WHEN 1 THEN 'make' ELSE '' END AS run,
            CASE k.n WHEN 0 THEN coalesce(uses, '') WHEN 2 THEN 'actions/upload@v4' ELSE '' END AS uses,
            CASE WHEN k.n = 0 AND env_key IS NOT NULL THEN env_key || '=' || env_value ELSE '' END AS env
     FROM d_steps, (VALUES (0, 'first'), (1, 'first'), (2, 'second')) AS k(n, job) WHERE d_steps.step_no % 5 <> 4""")

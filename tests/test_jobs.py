@@ -6,7 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import content, corpus, data_fields, governance, infrastructure, ordered, packages, rates, workflows
+from auditloom.operators import (
+    content, corpus, data_fields, governance, infrastructure, mapping, ordered, packages, rates, workflows,
+)
+from auditloom.plans import audit
 from auditloom.sources import files as sf_files, regulation, reports, schema_files, store
 
 
@@ -91,6 +94,15 @@ def test_staleness_and_substring_match(spark):
     comps = spark.createDataFrame([("r", 1, "old", "1", "npm"), ("r", 2, "new", "1", "npm")], "repo_id string, pos bigint, name string, version string, ecosystem string")
     found = spark.createDataFrame([("r", "the OLD package", "t")], "repo_id string, description string, title string")
     assert [r["name"] for r in packages.stale_with_cve(comps, stale, found, "substring").collect()] == ["old"]
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("aAb-") for _ in range(n))
+    names = [(f"r{i % 3}", i, word(rng.randrange(1, 7))) for i in range(60)]
+    texts = [(f"r{i % 3}", word(rng.randrange(0, 30)), word(3)) for i in range(12)]
+    got = packages._named_in_text(
+        spark.createDataFrame(names, "repo_id string, pos bigint, name string"),
+        spark.createDataFrame(texts, "repo_id string, description string, title string"))
+    want = {p for r, p, n in names if any(r == q and n.lower() in f"{d}\n{t}".lower() for q, d, t in texts)}
+    assert {r["pos"] for r in got.collect()} == want and 0 < len(want) < 60
     vulns = spark.createDataFrame([("r", "OLD")], "repo_id string, package string")
     hit = packages.unmaintained_findings(packages.stale_with_cve(comps, stale, vulns)).first()
     assert hit["rule_id"] == "sbom_unmaintained_old" and "2021-01-01" in hit["description"]
@@ -249,6 +261,19 @@ def test_embed_chunks(spark):
     assert {r["id"]: r["embedding"] for r in got} == {"a": [2.0, 1.0], "b": [4.0, 1.0]}
 
 
+def test_report_tables(spark, findings, tmp_path):
+    typed = mapping.classify(findings({"rule_id": "a.sqli"}, {"rule_id": "b.xss"}))
+    mapped = mapping.mapped_controls(typed)
+    store.write_findings(mapped, str(tmp_path / "f"))
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert back.count() == mapped.count() and set(back.columns) == set(mapped.columns)
+    rows = audit.audit_report(findings({"rule_id": "a.sqli"}), spark.createDataFrame([("r",), ("none",)], "repo_id string"))
+    store.write_reports(audit.report_document(rows), str(tmp_path / "r"))
+    docs = {d["repo_id"]: d for d in map(json.loads, spark.read.text(str(tmp_path / "r")).toPandas()["value"])}
+    assert docs["none"]["overall_score"] == 100 and docs["r"]["framework_scores"]["gdpr"] == 97
+    assert docs["r"]["frameworks"]["soc2"] == {"controls_triggered": 1, "findings": 1}
+
+
 def test_cache(spark):
     rows = [("own_1", "a", "2024-01-01 00:00:00"), ("own_1", "b", "2024-01-02 00:00:00"), ("fb_1", "c", "2024-01-02 11:56:00"), ("fb_2", "d", "2024-01-02 11:54:00"), ("own_2", "e", None)]
     cache = spark.createDataFrame(rows, "cache_key string, report string, t string").withColumn("created_at", F.col("t").cast("timestamp")).drop("t")
