@@ -83,16 +83,17 @@ def curated_entry(
     """Number of the first curated privacy entry for a finding.
 
     -1: decided by the catalogue alone (governance ids); NULL: no entry, or a
-    preset type, so the catalogue fallback applies.
+    preset type, so the catalogue fallback applies.  Title and description are
+    searched as one text; no keyword has a line break in it.
     """
     ids = ", ".join(sql_literal(i) for i in privacy.GOVERNANCE_RULE_IDS)
     branches = [
-        f"WHEN {_any('dsc', words)} OR {_any('ttl', words)} THEN {entry}"
+        f"WHEN {_any('txt', words)} THEN {entry}"
         for entry, (words, _, _) in enumerate(privacy.CURATED)
     ]
     body = f"CASE WHEN x.rid IN ({ids}) THEN -1 WHEN x.preset <> '' THEN NULL {' '.join(branches)} END"
     return _once(
-        body, rid=f"coalesce({rule_id}, '')", ttl=_lowered(title), dsc=_lowered(description), preset=preset
+        body, rid=f"coalesce({rule_id}, '')", txt=f"lower(concat_ws(chr(10), {description}, {title}))", preset=preset
     )
 
 

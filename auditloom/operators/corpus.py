@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot, norm
-from ..session import BROADCAST_ROWS
 from .ordered import top_per_key
 
 
@@ -33,7 +32,11 @@ def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable[[list[st
     return chunks.mapInPandas(run, schema)
 
 
-def match_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+# Queries compared pair by pair inside the chunk scan; more are compared block by block
+PAIRWISE_QUERIES = 1000
+
+
+def match_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, pairwise: int = PAIRWISE_QUERIES) -> DataFrame:
     """The ``k`` most similar chunks of the query's framework, per query.
 
     ``queries(query_id, framework, embedding)``, ``chunks(id, framework, embedding,
@@ -41,8 +44,7 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, broadcast_ro
     checked size is sent to the chunk scan and every task keeps ``k`` rows per
     query.  A larger one is compared block by block, see ``_match_blocks``.
     """
-    n = queries.limit(broadcast_rows + 1).count()
-    if n > broadcast_rows:
+    if queries.limit(pairwise + 1).count() > pairwise:
         return _match_blocks(queries, chunks, k)
     q = queries.select(
         "query_id", "framework", F.col("embedding").cast("array<double>").alias("qv")
@@ -55,14 +57,16 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, broadcast_ro
     return top_per_key(pairs, ["query_id"], [F.desc("similarity"), "id"], k)
 
 
-def _match_blocks(queries: DataFrame, chunks: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _match_blocks(
+    queries: DataFrame, chunks: DataFrame, k: int, q_block: int = 1024, c_block: int = 16384
+) -> DataFrame:
     """Exact top-k for large query sets: blocks of queries meet blocks of chunks.
 
     Both sides are cut into blocks of bounded size; a task holds one block of each,
     multiplies them as matrices and passes on only ``k`` rows per query.
     """
-    q_blocks = max(1, -(-queries.count() // block))
-    c_blocks = max(1, -(-chunks.count() // block))
+    q_blocks = max(1, -(-queries.count() // q_block))
+    c_blocks = max(1, -(-chunks.count() // c_block))
     q = queries.select("query_id", "framework", F.col("embedding").cast("array<double>").alias("qv"))
     c = chunks.select("id", "framework", F.col("embedding").cast("array<double>").alias("cv"))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch folder, row limit of broadcasts, spreading of small inputs."""
+"""Session helpers: shared scratch folder, spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows up to this count, of bounded width, may be sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
