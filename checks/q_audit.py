@@ -61,6 +61,26 @@ def audit_report(spark, sf):
     return audit.audit_report(all_findings(spark, sf), all_repos(spark, sf))
 
 
+@check("audit_of_admitted_repos", O.with_(
+    *MAPPED_ALL, O.inputs("d_repos"), O.scores("m", "d_repos", "s"), O.report("s", "d_repos"), """
+    adm AS (SELECT repo_id, CASE WHEN starts_with(url, 'zip://') AND NOT has_upload THEN 'ZIP extraction path is missing or invalid.'
+      WHEN starts_with(url, 'zip://') OR regexp_matches(url, '^(http://|https://|git@|ssh://)') THEN NULL
+      ELSE 'Unrecognized input: \'\'' || url || '\'\'. Provide a git URL, local path, or upload a ZIP.' END AS error FROM d_repos)""".replace("\\'", "'")) + f"""
+    SELECT r.repo_id, a.error, CASE WHEN a.error IS NULL THEN overall_score ELSE 0 END AS overall_score,
+           CASE WHEN a.error IS NULL THEN score_gdpr ELSE 0 END AS score_gdpr, CASE WHEN a.error IS NULL THEN critical ELSE 0 END AS critical,
+           CASE WHEN a.error IS NULL THEN controls_soc2 ELSE 0 END AS controls_soc2,
+           CASE WHEN a.error IS NULL THEN {O.SUMMARY} ELSE 'Audit could not be completed due to errors.' END AS executive_summary
+    FROM s_report r JOIN adm a ON a.repo_id = r.repo_id""")
+def audit_of_admitted_repos(spark, sf):
+    """Reports of the listed repositories; those that cannot be admitted have a report of zeros."""
+    repos = view(spark, sf, "d_repos").select(
+        "repo_id", locations.admission_error(F.col("url"), F.col("has_upload")).alias("error")
+    )
+    return audit.audit_report(all_findings(spark, sf), repos).select(
+        "repo_id", "error", "overall_score", "score_gdpr", "critical", "controls_soc2", "executive_summary"
+    )
+
+
 # --------------------------------------------------------------------------- steps of the audit
 
 def unique_findings(spark, sf):
@@ -209,9 +229,10 @@ def explanations(spark, sf):
     )
 
 
-@check("explain")
+@check("explain", O.with_(*MAPPED) + """
+    SELECT repo_id, src_ord, pos, framework, control_id, upper(framework) || ' ' || control_id || ': ' || title AS explanation FROM m""")
 def explain(spark, sf):
-    """Writer hook: the encoder of a test, not a model, so there is no SQL twin."""
+    """Writer hook, with a writer that only fills in a form."""
 
     def write(items):
         return [f"{i['framework'].upper()} {i['control_id']}: {i['title']}" for i in items]

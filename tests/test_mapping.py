@@ -129,7 +129,7 @@ def test_report_equals_plain_scores(spark, findings):
     repos = spark.createDataFrame([(f"r{i}", None) for i in range(6)] + [("empty", None), ("bad", "no")], "repo_id string, error string")
     for r in audit.audit_report(df, repos).collect():
         if r["repo_id"] == "bad":
-            assert r["overall_score"] == 0 and r["score_soc2"] == 0 and r["error"] == "no"
+            assert r["overall_score"] == 0 and r["score_soc2"] == 0 and r["controls_soc2"] == 0 and r["error"] == "no"
             continue
         scores = [max(0, 100 + points.get((r["repo_id"], fw), 0)) for fw in controls.FRAMEWORKS]
         assert [r[f"score_{fw}"] for fw in controls.FRAMEWORKS] == scores

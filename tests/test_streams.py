@@ -86,3 +86,11 @@ def test_merge_order(findings):
     assert {r["title"]: r["src_ord"] for r in merged.collect()} == {"from semgrep": 0, "from cicd": 7}
     assert merge.dedup_by_rule(merged).first()["title"] == "from semgrep"
     assert mapping.classify(merged).count() == 2
+
+
+def test_fresh_cache_stream(spark, file_stream, tmp_path):
+    rows = [("own_1", "old", "2020-01-01 00:00:00"), ("own_2", "new", "2999-01-01 00:00:00"), ("fb_1", "old", "2020-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "cache_key string, report string, t string").withColumn("created_at", F.col("t").cast("timestamp")).drop("t")
+    out = str(tmp_path / "out")
+    sp.write_updates(sp.fresh_cache_stream(file_stream(df, "cache_key", 1)), out, str(tmp_path / "cp"), "append").awaitTermination()
+    assert [r["cache_key"] for r in spark.read.parquet(out).collect()] == ["own_2"]
