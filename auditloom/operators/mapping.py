@@ -36,8 +36,9 @@ def classify_by_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     desc = F.when(rid.startswith("osv_"), F.lower(F.coalesce("description", F.lit("")))).otherwise("")
     keyed = findings.withColumns({"_rid": rid, "_desc": desc})
     ids = keyed.select("_rid", "_desc").distinct()
-    # The rules travel as one array constant inside each id row: no pairs are formed.
-    packed = rules.agg(F.array_sort(F.collect_list(F.struct("prio", "finding_type", "kind", "needle", "desc_needles"))).alias("rules"))
+    # The rules travel as one array, a scalar subquery: no pairs of ids and rules are formed.
+    columns = ("prio", "finding_type", "kind", "needle", "desc_needles")
+    packed = rules.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
 
     def matches(rule: Column) -> Column:
         by_prefix = (rule["kind"] == "prefix") & F.col("_rid").startswith(rule["needle"]) & (
@@ -50,10 +51,8 @@ def classify_by_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
             | by_prefix
         )
 
-    typed = (
-        ids.withColumn("_one", F.lit(1))
-        .join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one")
-        .select("_rid", "_desc", F.get(F.filter("rules", matches), F.lit(0))["finding_type"].alias("_type"))
+    typed = ids.withColumn("rules", packed).select(
+        "_rid", "_desc", F.get(F.filter("rules", matches), F.lit(0))["finding_type"].alias("_type")
     )
     return (
         keyed.join(typed, ["_rid", "_desc"], "left")

@@ -7,7 +7,7 @@ small row per block is looked at per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def carry_forward(
@@ -35,25 +35,32 @@ def carry_forward(
     )
 
 
-def trailing_count(
-    df: DataFrame, key: str, ts: str, window_us: int, name: str, blocks_per_window: int = 8
-) -> DataFrame:
-    """Rows of the same key in ``(t - window, t]``, the row itself and its peers included.
+def in_time_blocks(df: DataFrame, ts: str, span_us: int, reach_us: int) -> DataFrame:
+    """Rows by time block, with the rows of the last ``reach`` of a block in the next one, too.
 
-    Time is cut into blocks of several windows; rows in the last window of a
-    block are sent to the next block as well, so each block is complete.
+    Adds ``_us`` (time), ``_block`` (the row's own block) and ``_home`` (the block
+    a copy works in), so that windows of up to ``reach`` are whole inside a home.
     """
-    span = window_us * blocks_per_window
-    at = F.col("_us")
-    block = F.floor(at / span)
-    own = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_block", block)
-    reaches_next = at > (F.col("_block") + 1) * span - window_us
+    own = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
+        "_block", F.floor(F.col("_us") / span_us)
+    )
+    reaches_next = F.col("_us") > (F.col("_block") + 1) * span_us - reach_us
     copies = F.when(reaches_next, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array("_block"))
-    spread = own.withColumn("_home", F.explode(copies))
-    # (t - window, t] in whole microseconds
-    frame = Window.partitionBy(key, "_home").orderBy("_us").rangeBetween(-(window_us - 1), 0)
+    return own.withColumn("_home", F.explode(copies))
+
+
+def trailing_frame(key: str, window_us: int):
+    """Window over ``in_time_blocks`` rows: the same key in ``(t - window, t]``, peers included."""
+    return Window.partitionBy(key, "_home").orderBy("_us").rangeBetween(-(window_us - 1), 0)
+
+
+def trailing_count(
+    df: DataFrame, key: str, ts: str, window_us: int, name: str, blocks_per_window: int = 8
+) -> DataFrame:
+    """Rows of the same key in ``(t - window, t]``, the row itself and its peers included."""
+    spread = in_time_blocks(df, ts, window_us * blocks_per_window, window_us)
     return (
-        spread.withColumn(name, F.count("*").over(frame))
+        spread.withColumn(name, F.count("*").over(trailing_frame(key, window_us)))
         .where("_home = _block")
         .drop("_us", "_block", "_home")
     )

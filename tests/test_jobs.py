@@ -324,11 +324,21 @@ def plain_decisions(rows, limit, window):
     return out
 
 
-@pytest.mark.parametrize("gap", [5, 90])
-def test_rate_decisions_equal_plain_loop(spark, gap):
-    rows, df = requests(spark, 400, 7, gap)
-    got = {r["event_id"]: r["allowed"] for r in rates.rate_decisions(df, 10, 60).collect()}
-    assert got == plain_decisions(rows, 10, 60)
+@pytest.mark.parametrize("gap, run_windows", [(5, 64), (90, 64), (90, 1), (20, 1), (200, 2)])
+def test_rate_decisions_equal_plain_loop(spark, gap, run_windows, monkeypatch):
+    monkeypatch.setattr(rates, "RUN_WINDOWS", run_windows)
+    rows, df = requests(spark, 400, 7 + gap, gap)
+    got = [(r["event_id"], r["allowed"]) for r in rates.rate_decisions(df, 10, 60).collect()]
+    assert len(got) == len(rows) and dict(got) == plain_decisions(rows, 10, 60)
+
+
+def test_busy_client_is_split_without_a_pause(spark):
+    """Eight requests a minute for hours: never a quiet window, still many runs."""
+    rows = [("hot", i, i * 8) for i in range(3000)]
+    df = spark.createDataFrame(rows, "client string, event_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    runs = rates._runs(df, 10, 60_000_000)
+    assert runs.where("not warm").count() == 3000
+    assert runs.where("not warm").groupBy("run").count().agg(F.max("count")).first()[0] <= 64 * 60 // 8 + 1
 
 
 def test_burst_counts_equal_plain_count(spark):
