@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import content, corpus, mapping
 from auditloom.operators.data_fields import carry_model
-from auditloom.session import new_folder
+from auditloom.session import new_folder, spread
 from auditloom.sources import regulation, store
 
 from . import oracle as O
@@ -59,7 +59,8 @@ PAGE_TEXT = (
 
 
 def _page_docs(spark, sf):
-    return view(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.expr(PAGE_TEXT).alias("content"))
+    pages = spread(view(spark, sf, "pages"), "page_id")
+    return pages.select(F.col("page_id").alias("doc_id"), F.expr(PAGE_TEXT).alias("content"))
 
 
 ENTITIES = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
