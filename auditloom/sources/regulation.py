@@ -35,7 +35,8 @@ def segment(lines: DataFrame, heading: Column, block_rows: int = 100_000) -> Dat
     """Cut ``(doc_id, line_no, line)`` at heading lines.
 
     A chunk runs from its heading to the line before the next one; lines before
-    the first heading belong to none.  Gives (doc_id, start_line, heading, n_lines, content).
+    the first heading belong to none.  Gives (doc_id, start_line, heading, n_lines,
+    content); the lines gathered per group are the text of one result row.
     """
     marked = lines.withColumn("start", F.when(heading, F.col("line_no")))
     owned = carry_forward(marked, ["doc_id"], "line_no", "start", "start_line", block_rows).where(

@@ -42,7 +42,7 @@ def test_iac_severity_and_type(spark):
 
 
 @pytest.mark.parametrize("path, prefix, clean", [
-    (r"C:\Users\Varad\AppData\Local\Temp\tmpktjc20mn\Dockerfile", r"C:\other", "Dockerfile"),
+    (r"C:\Users\someone\AppData\Local\Temp\tmpktjc20mn\Dockerfile", r"C:\other", "Dockerfile"),
     ("/tmp/tmpktjc20mn/src/app.py", "/tmp/other", "src/app.py"),
     ("/work/clone/src/a.py", "/work/clone/", "src/a.py"),
     (r"D:\clone\src\a.py", "D:\\clone\\", "src/a.py"),

@@ -82,6 +82,11 @@ def test_classify_equals_plain_rules(spark, findings):
         assert by_case[i] == want and by_table[i] == want
 
 
+def test_rule_id_is_stripped_of_all_white_space(findings):
+    typed = mapping.classify(findings({"rule_id": " \t\nPII_email\n "}, {"rule_id": " github_mfa"}))
+    assert [r["resolved_type"] for r in typed.orderBy("pos").collect()] == ["pii_in_source", "missing_authn"]
+
+
 def plain_dedup(rows):
     kept = {}
     for row in sorted(rows, key=lambda r: (r["src_ord"], r["pos"])):
