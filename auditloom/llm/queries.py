@@ -94,3 +94,15 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "text"
     )
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each document in a mix of 150% of all words, sources weighing 5, 2, 1, repeating."""
+    from .mixing import copies
+
+    made = copies(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return made.withColumn("row_no", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
+        F.col("copies").cast("int").alias("copies"), "rate", "source",
+    )
