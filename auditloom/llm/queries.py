@@ -106,3 +106,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
         F.col("copies").cast("int").alias("copies"), "rate", "source",
     )
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text, as digests."""
+    from .byte_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
