@@ -114,3 +114,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+@query("op9_winnowing")
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form."""
+    from .winnowing import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"), k=24, window=72)
