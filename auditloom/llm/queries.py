@@ -122,3 +122,11 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"), k=24, window=72)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document, learned from ``labels``."""
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
