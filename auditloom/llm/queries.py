@@ -154,3 +154,11 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest_vectors
 
     return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op4_max_entropy")
+def op4_max_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learned from nine tenths of them."""
+    from .max_entropy import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), folds=10)
