@@ -162,3 +162,11 @@ def op4_max_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .max_entropy import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), folds=10)
+
+
+@query("op3_run_index")
+def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its 100-byte strings that start earlier in the corpus."""
+    from .run_index import remove_repeated_strings
+
+    return remove_repeated_strings(table(spark, sf_dir, "documents"), length=100, keep_bytes=False).drop("spans")
