@@ -312,9 +312,9 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     likely = likely.withColumnRenamed("root", "cluster")
     counts = likely.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     members = likely.join(counts, "cluster").join(popular, "id").withColumn("grp", F.hex("cluster"))
-    # The whole text of each member, once.
+    # The whole text of each member, once; by a merge join at every size, as members grow with the table.
     wanted = firsts.select(F.col("digest").alias("id"), F.col("first.row").alias("row")).join(members, "id").select("row", "id", "grp", "n", "popular")
-    chosen = rows.select("row", "text").join(written(wanted, "members"), "row").dropDuplicates(["row"]).drop("row")
+    chosen = rows.select("row", "text").join(written(wanted, "members").hint("merge"), "row").dropDuplicates(["row"]).drop("row")
     sets = chosen.select("id", "grp", "n", "popular", "text").mapInArrow(
         _shingle_sets, "id binary, grp string, n long, popular long, payload binary, weights binary"
     )
@@ -352,5 +352,5 @@ def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one row of each near-duplicate class, the one with the least id; repeated rows count as copies."""
     firsts = near_duplicate_rows(docs, id_col, text_col).where(F.col("root.row") == F.col("row")).select("row").distinct()
     key = unused(docs, "row_key")
-    kept = docs.withColumn(key, row_key(id_col, text_col)).join(firsts.withColumnRenamed("row", key), key, "left_semi")
+    kept = docs.withColumn(key, row_key(id_col, text_col)).join(firsts.withColumnRenamed("row", key).hint("merge"), key, "left_semi")
     return kept.dropDuplicates([key]).drop(key)
