@@ -58,7 +58,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     key, gone = unused(docs, "row_key"), unused(docs, "gone_lines")
     removed = removed.select(F.col("row").alias(key), F.col("removed").alias(gone))
-    joined = docs.withColumn(key, row_key(id_col, text_col)).join(removed, key, "left")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(removed.hint("merge"), key, "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(
         F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")

@@ -172,5 +172,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     made = made.select(F.col("row").alias(key), F.col("source").alias(src), F.col("copies").cast("int").alias(times)).where(F.col(times) > 0)
     keyed = docs.withColumn(key, row_key(id_col, text_col))
     same = (keyed[key] == made[key]) & keyed[source_col].cast("string").eqNullSafe(made[src])
-    joined = keyed.join(made, same).drop(keyed[key]).drop(made[key])
+    joined = keyed.join(made.hint("merge"), same).drop(keyed[key]).drop(made[key])
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

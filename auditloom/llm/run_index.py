@@ -377,5 +377,5 @@ def remove_repeated_strings(
     second = again.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_mark(length, False), MARKS)
     spans = first.where("stop IS NOT NULL").select("row", "start", "stop").unionByName(second.select("row", "start", "stop"))
     per_row = spans.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    out = rows.join(per_row, "row", "left").select("id", "text", "spans").mapInArrow(_cut(keep_bytes), REMOVED).withColumnRenamed("id", id_col)
+    out = rows.join(per_row.hint("merge"), "row", "left").select("id", "text", "spans").mapInArrow(_cut(keep_bytes), REMOVED).withColumnRenamed("id", id_col)
     return out if keep_bytes else out.drop("kept")

@@ -74,7 +74,7 @@ def drop_repeated_units(
     later = join_facts(units, firsts, "digest", "n").where(F.col("place") > F.col("first"))
     key, gone = unused(docs, "row_key"), unused(docs, "gone_units")
     removed = later.groupBy(F.col("row").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(gone))
-    joined = docs.withColumn(key, row_key(id_col, text_col)).join(removed, key, "left")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(removed.hint("merge"), key, "left")
     return _apply(joined, key, gone, text_col, kind)
 
 
