@@ -123,16 +123,15 @@ def iac_type(check_id: Column, check_name: Column) -> Column:
     )
 
 
-def iac_framework(path: Column, content: Column) -> Column:
+def iac_framework(path: Column, content: Column, head_chars: int | None = None) -> Column:
     """Infrastructure framework of a file (path relative to the repo), or NULL.
 
-    Only the head of a YAML file is searched for Kubernetes keys; the length is
-    part of the rule.
+    A YAML file is searched for Kubernetes keys as a whole, or only in its first ``head_chars``.
     """
     name = F.element_at(F.split(path, "/"), -1)
     # A file in the root is seen as "./name", so the folder test still needs a slash.
     yaml = F.lower(name).rlike(r"\.ya?ml$")
-    head = F.substring(content, 1, tools.IAC_HEAD_CHARS)
+    head = content if head_chars is None else F.substring(content, 1, head_chars)
     kinds = "|".join(tools.KUBERNETES_KINDS)
     return (
         F.when(name.rlike(r"(?i)\.tf(?:\.json)?$"), "Terraform")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import dot, norm
 from .ordered import top_per_key
 
 
@@ -32,51 +31,32 @@ def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable[[list[st
     return chunks.mapInPandas(run, schema)
 
 
-# Queries compared pair by pair inside the chunk scan; more are compared block by block
-PAIRWISE_QUERIES = 1000
-
-
-def match_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, pairwise: int = PAIRWISE_QUERIES) -> DataFrame:
+def match_chunks(
+    queries: DataFrame, chunks: DataFrame, k: int = 3, q_block: int = 1024, c_block: int = 16384
+) -> DataFrame:
     """The ``k`` most similar chunks of the query's framework, per query.
 
-    ``queries(query_id, framework, embedding)``, ``chunks(id, framework, embedding,
-    ...)``.  Similarity is the cosine; ties go to the smaller id.  A query set of
-    checked size is sent to the chunk scan and every task keeps ``k`` rows per
-    query.  A larger one is compared block by block, see ``_match_blocks``.
-    """
-    if queries.limit(pairwise + 1).count() > pairwise:
-        return _match_blocks(queries, chunks, k)
-    q = queries.select(
-        "query_id", "framework", F.col("embedding").cast("array<double>").alias("qv")
-    ).withColumn("qn", norm(F.col("qv")))
-    c = chunks.withColumn("cv", F.col("embedding").cast("array<double>")).withColumn("cn", norm(F.col("cv")))
-    pairs = c.join(F.broadcast(q), "framework").withColumn(
-        "similarity", dot(F.col("cv"), F.col("qv")) / (F.col("cn") * F.col("qn"))
-    )
-    pairs = pairs.select("query_id", "framework", "id", "similarity")
-    return top_per_key(pairs, ["query_id"], [F.desc("similarity"), "id"], k)
+    ``queries(query_id, framework, embedding)``, ``chunks(id, framework, embedding [, content, metadata])``.
+    Similarity is the cosine; ties go to the smaller id.  A vector that is NULL, holds a NULL or has no length has no
+    similarity: such chunks are not found and such queries find nothing; vectors of different lengths do not meet.
+    ``content`` and ``metadata`` are returned where the chunks have them.
 
-
-def _match_blocks(
-    queries: DataFrame, chunks: DataFrame, k: int, q_block: int = 1024, c_block: int = 16384
-) -> DataFrame:
-    """Exact top-k for large query sets: blocks of queries meet blocks of chunks.
-
-    Both sides are cut into blocks of bounded size; a task holds one block of each,
-    multiplies them as matrices and passes on only ``k`` rows per query.
+    Blocks of queries meet blocks of chunks, cut inside each framework from its own counts: a task holds one block of
+    each, multiplies them as matrices and passes on only ``k`` rows per query.
     """
-    q_blocks = max(1, -(-queries.count() // q_block))
-    c_blocks = max(1, -(-chunks.count() // c_block))
-    q = queries.select("query_id", "framework", F.col("embedding").cast("array<double>").alias("qv"))
-    c = chunks.select("id", "framework", F.col("embedding").cast("array<double>").alias("cv"))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
-    )
-    c = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
+    vector = F.col("embedding").cast("array<double>")
+    usable = ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0)
+    key = ["framework", "size"]
+    q = queries.select("query_id", "framework", vector.alias("v")).where(usable).withColumn("size", F.size("v"))
+    c = chunks.select("id", "framework", vector.alias("v")).where(usable).withColumn("size", F.size("v"))
+    blocks = q.groupBy(*key).agg(F.ceil(F.count("*") / q_block).alias("q_blocks")).join(
+        c.groupBy(*key).agg(F.ceil(F.count("*") / c_block).alias("c_blocks")), key
     )
-    id_type, query_type = dict(c.dtypes)["id"], dict(q.dtypes)["query_id"]
-    framework_type = dict(q.dtypes)["framework"]
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    q = q.join(blocks, key).withColumn("qb", own("query_id", "q_blocks")).withColumn("cb", every("c_blocks"))
+    c = c.join(blocks, key).withColumn("cb", own("id", "c_blocks")).withColumn("qb", every("q_blocks"))
+    types = dict(q.dtypes) | dict(c.dtypes)
 
     def compare(qs, cs):
         import numpy as np
@@ -85,7 +65,7 @@ def _match_blocks(
         columns = ["query_id", "framework", "id", "similarity"]
         if qs.empty or cs.empty:
             return pd.DataFrame(columns=columns)
-        a, b = np.stack(qs["qv"].to_numpy()), np.stack(cs["cv"].to_numpy())
+        a, b = np.stack(qs["v"].to_numpy()), np.stack(cs["v"].to_numpy())
         sims = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
         ids = cs["id"].to_numpy()
         rows = []
@@ -94,11 +74,16 @@ def _match_blocks(
                 rows.append((query, framework, ids[j], float(sims[i, j])))
         return pd.DataFrame(rows, columns=columns)
 
-    keys = ["framework", "qb", "cb"]
-    best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        compare, f"query_id {query_type}, framework {framework_type}, id {id_type}, similarity double"
+    tile = [*key, "qb", "cb"]
+    # New columns for the queries, which may stem from the chunks.
+    q = q.select(*[F.col(name).alias(name) for name in (*tile, "query_id", "v")])
+    best = q.groupBy(*tile).cogroup(c.select(*tile, "id", "v").groupBy(*tile)).applyInPandas(
+        compare,
+        f"query_id {types['query_id']}, framework {types['framework']}, id {types['id']}, similarity double",
     )
-    return top_per_key(best, ["query_id"], [F.desc("similarity"), "id"], k)
+    found = top_per_key(best, ["query_id"], [F.desc("similarity"), "id"], k)
+    told = [name for name in ("content", "metadata") if name in chunks.columns]
+    return found.join(chunks.select("id", "framework", *told), ["id", "framework"], "left") if told else found
 
 
 def framework_centroids(chunks: DataFrame) -> DataFrame:

@@ -228,18 +228,19 @@ def privacy_flag(findings: DataFrame) -> DataFrame:
     )
 
 
-def attach_regulation(mapped: DataFrame, chunks: DataFrame, max_chars: int = 1500) -> DataFrame:
+def attach_regulation(mapped: DataFrame, chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Regulation text of each row's control, or NULL.
 
     Only chunks whose id is a catalogue control are taken, one per id, so the
     broadcast side is bounded by the catalogue whatever the size of the corpus.
-    ``max_chars`` is the excerpt length of the feature.
+    The whole text is returned, or its first ``max_chars``.
     """
+    text = F.col("content") if max_chars is None else F.left("content", F.lit(max_chars))
     ids = sorted({row[3] for row in controls.control_rows()})
     texts = (
         chunks.where(F.col("id").isin(*ids))
         .groupBy("id")
-        .agg(F.max(F.left("content", F.lit(max_chars))).alias("regulation"))
+        .agg(F.max(text).alias("regulation"))
         .withColumnRenamed("id", "control_id")
     )
     return mapped.join(F.broadcast(texts), "control_id", "left")

@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..dims import tools
 from ..functions.severity import severity_rank
-from ..functions.text import filled, or_else
+from ..functions.text import or_else
 from ..schemas import FINDING, FINDING_COLUMNS
 
+REQUIRED_COLUMNS = ("repo_id", "pos", "tool", "severity", "title", "description", "rule_id")
 SOURCE_ORDER = {name: i for i, (name, _) in enumerate(tools.SOURCES)}
 
 
 def as_findings(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Any finding-like table in the full layout; missing columns become NULL."""
+    """Any finding-like table in the full layout; optional columns that are missing become NULL.
+
+    Without its position, severity or rule id a finding can be neither ordered nor scored, so a table without these
+    columns is refused.
+    """
+    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
+    if source is None and "src_ord" not in df.columns:
+        missing.append("src_ord")
+    if missing:
+        raise ValueError(f"not a table of findings, it lacks {', '.join(missing)}")
     if source is not None:
         df = df.withColumn("src_ord", F.lit(SOURCE_ORDER[source]))
     columns = []
@@ -39,8 +49,10 @@ def dedup_by_rule(findings: DataFrame) -> DataFrame:
     first finding of its group.  A group aggregate, so copies are dropped before
     the shuffle.
     """
-    own_key = F.concat_ws("_", F.lit("finding"), F.col("src_ord"), F.col("pos"))
-    keyed = findings.withColumn("dedup_key", or_else(F.col("rule_id"), own_key))
+    # A finding without rule id and position is like no other.
+    alone = findings.withColumn("_row", F.monotonically_increasing_id())
+    own_key = F.concat_ws("_", F.lit("finding"), F.col("src_ord"), F.coalesce(F.col("pos").cast("string"), F.concat(F.lit("row"), "_row")))
+    keyed = alone.withColumn("dedup_key", or_else(F.col("rule_id"), own_key)).drop("_row")
     place = F.struct("src_ord", "pos")
     # Greatest rank first, then the smallest place.
     best = F.struct(severity_rank(F.col("severity")), -F.col("src_ord"), -F.col("pos"))
@@ -49,7 +61,3 @@ def dedup_by_rule(findings: DataFrame) -> DataFrame:
         F.min(place).alias("place"), F.max_by(F.struct(*rest), best).alias("f")
     )
     return groups.select("repo_id", "place.src_ord", "place.pos", "f.*", "dedup_key")
-
-
-def missing_rule_id(findings: DataFrame) -> DataFrame:
-    return findings.where(filled(F.col("rule_id")).isNull())

@@ -71,3 +71,22 @@ def top_per_key(df: DataFrame, keys, order, k: int) -> DataFrame:
     ``k`` rows per key and task are shuffled."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``pos``: their number within the repository, by the given columns.
+
+    For findings that have no number of their own; of a repository there are few.
+    """
+    place = Window.partitionBy("repo_id").orderBy(*order) if order else Window.partitionBy("repo_id").orderBy("repo_id")
+    return df.withColumn("pos", F.row_number().over(place).cast("bigint") - 1)
+
+
+def in_turn(*parts: DataFrame) -> DataFrame:
+    """The findings of several checks of one source, check after check; ``pos`` runs through."""
+    merged = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("_part", F.lit(i))
+        merged = part if merged is None else merged.unionByName(part)
+    place = Window.partitionBy("repo_id").orderBy("_part", "pos")
+    return merged.withColumn("pos", F.row_number().over(place).cast("bigint") - 1).drop("_part")

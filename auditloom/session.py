@@ -1,21 +1,24 @@
-"""Session helpers: shared scratch folder, spreading of small inputs."""
+"""Session helpers: shared scratch folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only where the cluster names none (local runs and tests) a temporary folder
-    is made and recorded in the session.
+    A local session (one machine) that names none gets a temporary folder, recorded in the session.  Anywhere else a
+    folder of one machine would lose or split the data, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    master = spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="auditloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -25,13 +28,3 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder name below the shared folder."""
     return f"{shared_dir(spark)}/auditloom/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Rows over all cores when the input comes in fewer partitions than there are cores.
-
-    For CPU-heavy row-local work on small inputs, which may sit in a single file
-    block.  Large inputs have more partitions than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

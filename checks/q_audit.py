@@ -9,7 +9,7 @@ from auditloom.functions import classify as fc, locations, severity as fs
 from auditloom.functions.severity import SEVERITIES
 from auditloom.operators import content, mapping, merge, scoring
 from auditloom.plans import audit
-from auditloom.session import new_folder, spread
+from auditloom.session import new_folder
 from auditloom.sources import reports, store
 
 from . import oracle as O
@@ -20,7 +20,7 @@ from .registry import check
 # --------------------------------------------------------------------------- flagship
 
 def document_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(view(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = view(spark, sf, "documents").select("doc_id", "source", "text")
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("pos"), path.alias("path"), "text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import content, corpus, mapping
 from auditloom.operators.data_fields import carry_model
-from auditloom.session import new_folder, spread
+from auditloom.session import new_folder
 from auditloom.sources import regulation, store
 
 from . import oracle as O
@@ -59,7 +59,7 @@ PAGE_TEXT = (
 
 
 def _page_docs(spark, sf):
-    pages = spread(view(spark, sf, "pages"), "page_id")
+    pages = view(spark, sf, "pages")
     return pages.select(F.col("page_id").alias("doc_id"), F.expr(PAGE_TEXT).alias("content"))
 
 
@@ -109,7 +109,7 @@ LATEST_CHUNKS = """
 
 
 @check("regulation_join", O.with_(*MAPPED, CHUNKS, LATEST_CHUNKS) + """
-    SELECT m.repo_id, m.src_ord, m.pos, m.framework, m.control_id, left(n.content, 1500) AS regulation
+    SELECT m.repo_id, m.src_ord, m.pos, m.framework, m.control_id, n.content AS regulation
     FROM m LEFT JOIN newest n ON n.id = m.control_id""")
 def regulation_join(spark, sf):
     chunks = _chunks(spark, sf).select("id", "content", "doc_id")
@@ -166,6 +166,20 @@ def match_chunks(spark, sf):
     )
 
 
+@check("match_chunks_many", """
+    WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(c.e, q.e) AS sim FROM v q JOIN v c ON c.label = q.label),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank FROM s)
+    SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity, 'chunk ' || id AS content FROM r WHERE rank <= 3""")
+def match_chunks_many(spark, sf):
+    """For every vector the three nearest of its framework, with their text."""
+    chunks = _vectors(spark, sf).withColumn("content", F.concat(F.lit("chunk "), F.col("id").cast("string")))
+    queries = chunks.select(F.col("id").alias("query_id"), "framework", "embedding")
+    return corpus.match_chunks(queries, chunks, 3).select(
+        "query_id", "id", "rank", F.round("similarity", 6).alias("similarity"), "content"
+    )
+
+
 @check("embed_chunks", """
     SELECT 'doc_' || doc_id AS id, lang AS framework, CAST(length(text) AS DOUBLE) AS chars,
            CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks,

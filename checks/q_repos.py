@@ -255,7 +255,7 @@ IAC = f"""
         WHERE len(list_filter(string_split(path, '/')[:-2], lambda d: d IN {O.in_list(tools.IAC_SKIP_DIRS)})) = 0),
     det AS (SELECT DISTINCT repo_id, CASE WHEN regexp_matches(name, '(?i)\\.tf(\\.json)?$') THEN 'Terraform'
         WHEN regexp_matches(lower(name), '\\.ya?ml$') AND regexp_matches(path, '(cloudformation|template)/|AWSTemplateFormatVersion') THEN 'CloudFormation'
-        WHEN regexp_matches(lower(name), '\\.ya?ml$') AND regexp_matches(left(content, 2048), '(?m)^apiVersion:|^kind:\\s*({"|".join(tools.KUBERNETES_KINDS)})\\s*$') THEN 'Kubernetes'
+        WHEN regexp_matches(lower(name), '\\.ya?ml$') AND regexp_matches(content, '(?m)^apiVersion:|^kind:\\s*({"|".join(tools.KUBERNETES_KINDS)})\\s*$') THEN 'Kubernetes'
         WHEN upper(name) = 'DOCKERFILE' OR starts_with(name, 'Dockerfile') THEN 'Dockerfile' END AS fw FROM named)"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from auditloom.operators import infrastructure
-from auditloom.session import new_folder, spread
+from auditloom.session import new_folder
 from auditloom.sources import files as src_files, reports, schema_files as sfiles, store
 
 from . import oracle as O
@@ -19,7 +19,7 @@ LEVELS = ["ERROR", "Warning", "INFO", "inventory", "experiment"]
 
 def _sast_reports(spark, sf):
     """One report per event: two results, the second without severity and message."""
-    e = spread(view(spark, sf, "events"), "event_id")
+    e = view(spark, sf, "events")
     level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("event_id") % len(LEVELS) + 1).cast("int"))
     result = lambda cid, lev, msg: F.struct(
         cid.alias("check_id"), F.concat(F.lit("src/"), "event_type").alias("path"),
@@ -133,7 +133,7 @@ def _parts(spark, sf, path: str) -> DataFrame:
     for k in (1, 5, 7):
         columns[f"n{k}"] = F.get(names, ((F.col("event_id") * k + k) % len(FIELD_NAMES)).cast("int"))
         columns[f"t{k}"] = F.get(types, ((F.col("event_id") + k) % len(FIELD_TYPES)).cast("int"))
-    return spread(view(spark, sf, "events"), "event_id").withColumns(columns).withColumns({
+    return view(spark, sf, "events").withColumns(columns).withColumns({
         "repo_id": F.col("user_id").cast("string"), "path": F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(path)),
         "m": F.concat(F.lit("M"), F.col("event_id").cast("string")),
     })
@@ -269,7 +269,7 @@ def scan_files(spark, sf):
     pages = view(spark, sf, "pages").select(folder.alias("folder"), F.col("page_id").alias("page"), F.col("html").alias("value"))
     for name in FOLDERS:
         pages.where(F.col("folder") == name).drop("folder").write.partitionBy("page").text(f"{root}/site/{name}")
-    listed = src_files.scan_files(spark, root, with_content=False).where("not path like '%\\\\_SUCCESS'")
+    listed = src_files.scan_files(spark, root, with_content=False).where(r"path rlike '/part-[^/]*$'")
     return listed.select("repo_id", F.regexp_replace("path", r"/part-[^/]*$", "").alias("folder"), "size")
 
 
