@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,69 +97,83 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["id", "words", "rates", "meta"])
 
 
+#: Rows of a design worked on at once; designs are kept as bytes.
+CHUNK = 1024
+
+
 class Logistic:
-    """Ridge logistic regression by Newton steps on a small dense design."""
+    """Ridge logistic regression by Newton steps on a small design of zeros and ones (or a few real columns)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
-        x = np.hstack([np.ones((len(x), 1)), x])
-        self.w = np.zeros(x.shape[1])
-        penalty = np.full(x.shape[1], ridge)
+    def __init__(self, designs: list[np.ndarray], y: np.ndarray, ridge: float = 1.0) -> None:
+        width = designs[0].shape[1] + 1
+        self.w = np.zeros(width)
+        penalty = np.full(width, ridge)
         penalty[0] = 1e-6
         for _ in range(12):
-            p = sigmoid(x @ self.w)
-            slope = x.T @ (p - y) + penalty * self.w
-            bend = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
-            bend[np.diag_indices_from(bend)] += penalty
+            slope, bend, at = penalty * self.w, np.diag(penalty), 0
+            for design in designs:
+                for lo in range(0, len(design), CHUNK):
+                    x = design[lo : lo + CHUNK].astype(np.float64)
+                    x = np.hstack([np.ones((len(x), 1)), x])
+                    p = sigmoid(x @ self.w)
+                    slope += x.T @ (p - y[at : at + len(x)])
+                    bend += (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+                    at += len(x)
             step = np.linalg.solve(bend, slope)
             self.w -= np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-4:
                 break
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.w[0] + x @ self.w[1:]
+    def logit(self, design: np.ndarray) -> np.ndarray:
+        parts = [design[lo : lo + CHUNK].astype(np.float64) @ self.w[1:] for lo in range(0, len(design), CHUNK)]
+        return self.w[0] + np.concatenate(parts) if parts else np.zeros(0)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def telling_words(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Slots whose documents' share differs most between the classes, most telling first."""
-    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-    doc_y = np.repeat(y, [len(w) for w in words])
-    slots, at = np.unique(flat, return_inverse=True)
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    with1 = np.bincount(at, doc_y, len(slots))
-    docs = np.bincount(at, minlength=len(slots))
-    share = docs / len(y)
-    z = (with1 / n1 - (docs - with1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    good = (docs >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    order = np.argsort(-np.abs(z[good]), kind="stable")[:KEPT_WORDS]
-    return slots[good][order]
-
-
 class Sample:
-    """Features of sampled documents in the driver."""
-
-    def __init__(self, rows: list) -> None:
-        self.words = [np.asarray(r["words"], np.int64) for r in rows]
-        self.rates = np.array([r["rates"] for r in rows], np.int64).reshape(len(rows), len(RATES))
-        self.meta = np.array([r["meta"] for r in rows], np.int64).reshape(len(rows), -1)
+    """Features of sampled documents in the driver, in flat arrays."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.n = rows.num_rows
+        column = lambda name: rows[name].combine_chunks()
+        flat = lambda name: column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.slots = column("words").flatten().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(self.n), column("words").value_lengths().to_numpy(zero_copy_only=False))
+        self.rates = flat("rates").reshape(self.n, len(RATES))
+        self.meta = flat("meta").reshape(self.n, META_WIDTH // META_STEPS)
+
+    def telling_words(self, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Slots whose documents' share differs most between the classes of the used rows, most telling first."""
+        mine = used[self.owner]
+        slots, at = np.unique(self.slots[mine], return_inverse=True)
+        n, n1 = max(int(used.sum()), 1), max(y[used].sum(), 1)
+        n0 = max(n - n1, 1)
+        with1 = np.bincount(at, y[self.owner[mine]], len(slots))
+        docs = np.bincount(at, minlength=len(slots))
+        share = docs / n
+        z = (with1 / n1 - (docs - with1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+        good = (docs >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+        order = np.argsort(-np.abs(z[good]), kind="stable")[:KEPT_WORDS]
+        return slots[good][order].astype(np.int64)
 
     def text_design(self, kept: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(self.words), len(kept) + len(RATES) * STEPS))
-        place = {s: i for i, s in enumerate(kept.tolist())}
-        for i, w in enumerate(self.words):
-            hits = [place[s] for s in w[np.isin(w, kept)].tolist()]
-            x[i, hits] = 1
+        x = np.zeros((self.n, len(kept) + len(RATES) * STEPS), np.uint8)
+        if len(kept):
+            order = np.argsort(kept)
+            at = np.minimum(np.searchsorted(kept[order], self.slots), len(kept) - 1)
+            hit = kept[order][at] == self.slots
+            x[self.owner[hit], order[at[hit]]] = 1
         # A rate counts as "at least so many steps", so neighbouring steps share what is learned.
-        x[:, len(kept) :] = (self.rates[:, :, None] >= np.arange(STEPS)[None, None, :]).reshape(len(self.words), -1)
+        x[:, len(kept) :] = (self.rates[:, :, None] >= np.arange(STEPS)[None, None, :]).reshape(self.n, len(RATES) * STEPS)
         return x
 
     def meta_design(self) -> np.ndarray:
-        x = np.zeros((len(self.words), META_WIDTH))
+        x = np.zeros((self.n, META_WIDTH), np.uint8)
         for j in range(self.meta.shape[1]):
-            x[np.arange(len(x)), self.meta[:, j]] = 1
+            x[np.arange(self.n), self.meta[:, j]] = 1
         return x
 
 
@@ -170,18 +185,18 @@ def co_train(labelled: Sample, y: np.ndarray, pool: Sample, rounds: int, sure: f
     regression on the held-back logits calibrates and combines the views.
     """
     held = np.arange(len(y)) % 5 == 4
-    kept = telling_words([w for w, h in zip(labelled.words, held, strict=True) if not h], y[~held])
+    kept = labelled.telling_words(y, ~held)
     designs = {"text": (labelled.text_design(kept), pool.text_design(kept)), "meta": (labelled.meta_design(), pool.meta_design())}
     given: dict[str, tuple[np.ndarray, np.ndarray]] = {v: (np.zeros(0, np.int64), np.zeros(0)) for v in designs}
     models = {}
     for step in range(rounds + 1):
         for view, (own, more) in designs.items():
             rows, labels = given[view]
-            models[view] = Logistic(np.vstack([own[~held], more[rows]]), np.concatenate([y[~held], labels]))
+            models[view] = Logistic([own[~held], more[rows]], np.concatenate([y[~held], labels]))
         if step == rounds:
             break
         for view, other in (("text", "meta"), ("meta", "text")):
-            p_held, p_pool = (sigmoid(models[view].logit(d)) if len(d) else np.zeros(0) for d in (designs[view][0][held], designs[view][1]))
+            p_held, p_pool = (sigmoid(models[view].logit(d)) for d in (designs[view][0][held], designs[view][1]))
             rows, labels = [], []
             for label in (0, 1):
                 right = (y[held] == label)[order := np.argsort(-(p_held if label else 1 - p_held), kind="stable")]
@@ -194,7 +209,7 @@ def co_train(labelled: Sample, y: np.ndarray, pool: Sample, rounds: int, sure: f
             if rows:
                 given[other] = (np.concatenate(rows), np.concatenate(labels))
     logits = np.stack([models[v].logit(designs[v][0][held]) for v in ("text", "meta")], 1)
-    joint = Logistic(logits, y[held], ridge=0.1)
+    joint = Logistic([logits], y[held], ridge=0.1)
     return {"kept": kept, "text": models["text"].w, "meta": models["meta"].w, "joint": joint.w, "given": {v: len(g[0]) for v, g in given.items()}}
 
 
@@ -204,21 +219,22 @@ def fit(docs: DataFrame, labels: DataFrame, target_columns: dict[str, int], id_c
         *[(F.max if bad else F.min)(c).alias(c) for c, bad in target_columns.items()]
     ).dropna()
     rows = _features_input(docs, id_col, text_col)
-    ids = rows.select("id").dropna()
+    every = rows.select("id").dropna()
     order = F.xxhash64("id", F.lit(7))
-    first = known.join(ids.distinct(), "id", "left_semi").orderBy(order, "id").limit(n_labelled)
-    rest = ids.distinct().join(known, "id", "left_anti").orderBy(order, "id").limit(n_pool)
+    first = known.join(every.distinct(), "id", "left_semi").orderBy(order, "id").limit(n_labelled)
+    rest = every.distinct().join(known, "id", "left_anti").orderBy(order, "id").limit(n_pool)
     marked = first.unionByName(rest, allowMissingColumns=True).collect()  # at most n_labelled + n_pool short rows
     truth = {r["id"]: [r[c] for c in target_columns] for r in marked if r[next(iter(target_columns))] is not None}
     wanted = docs.sparkSession.createDataFrame([(r["id"],) for r in marked], "id long")
-    found = rows.join(F.broadcast(wanted), "id", "left_semi").mapInArrow(_extract, FEATURES).dropDuplicates(["id"]).collect()
-    found.sort(key=lambda r: r["id"])
-    labelled = [r for r in found if r["id"] in truth]
-    pool = Sample([r for r in found if r["id"] not in truth])
-    sample = Sample(labelled)
+    found = rows.join(F.broadcast(wanted), "id", "left_semi").mapInArrow(_extract, FEATURES).dropDuplicates(["id"]).toArrow().sort_by("id")
+    known_ids = pa.array(list(truth), pa.int64())
+    has_label = pc.is_in(found["id"], known_ids)
+    labelled = found.filter(has_label)
+    sample, pool = Sample(labelled), Sample(found.filter(pc.invert(has_label)))
+    ids = labelled["id"].to_pylist()
     out = {}
     for i, name in enumerate(target_columns):
-        y = np.array([truth[r["id"]][i] for r in labelled], float)
+        y = np.array([truth[k][i] for k in ids], float)
         out[name] = co_train(sample, y, pool, rounds, sure) if 0 < y.sum() < len(y) and len(y) >= 50 else None
         if out[name] is None:
             out[name] = {"constant": float(y.mean()) if len(y) else float(not target_columns[name])}
