@@ -29,14 +29,13 @@ def classify(findings: DataFrame) -> DataFrame:
 def classify_by_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """``classify`` with the rules as a table ``(prio, finding_type, kind, needle, desc_needles)``.
 
-    Only the distinct rule ids (with the description where a rule looks at it)
-    meet the rule table; the smallest ``prio`` that matches wins.
+    The smallest ``prio`` that matches wins.  The rules are looked through inside each finding's row, so no finding
+    is shuffled, however often its rule id occurs.
     """
     rid = F.expr(rule_text("rule_id"))
     desc = F.when(rid.startswith("osv_"), F.lower(F.coalesce("description", F.lit("")))).otherwise("")
     keyed = findings.withColumns({"_rid": rid, "_desc": desc})
-    ids = keyed.select("_rid", "_desc").distinct()
-    # The rules travel as one array, a scalar subquery: no pairs of ids and rules are formed.
+    # The rules travel as one array, a scalar subquery: no pairs of findings and rules are formed.
     columns = ("prio", "finding_type", "kind", "needle", "desc_needles")
     packed = rules.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
 
@@ -51,17 +50,9 @@ def classify_by_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
             | by_prefix
         )
 
-    typed = ids.withColumn("rules", packed).select(
-        "_rid", "_desc", F.get(F.filter("rules", matches), F.lit(0))["finding_type"].alias("_type")
-    )
-    return (
-        keyed.join(typed, ["_rid", "_desc"], "left")
-        .withColumn(
-            "resolved_type",
-            F.coalesce(filled(F.col("finding_type")), "_type", F.lit(controls.DEFAULT_TYPE)),
-        )
-        .drop("_rid", "_desc", "_type")
-    )
+    found = F.get(F.filter("_rules", matches), F.lit(0))["finding_type"]
+    resolved = F.coalesce(filled(F.col("finding_type")), found, F.lit(controls.DEFAULT_TYPE))
+    return keyed.withColumn("_rules", packed).withColumn("resolved_type", resolved).drop("_rid", "_desc", "_rules")
 
 
 def preset_cve_types(findings: DataFrame) -> DataFrame:

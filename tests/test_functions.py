@@ -107,7 +107,7 @@ def test_iac_framework(spark):
             ("k/a.yml", "kind: Service\n", "Kubernetes"), ("k/a.yml", "x" * 3000 + "\nkind: Service\n", None),
             ("Dockerfile", "", "Dockerfile"), ("b/dockerfile", "", "Dockerfile"), ("b/Dockerfile.dev", "", "Dockerfile"), ("a.py", "", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, c string, f string")
-    for row in df.select(fc.iac_framework(F.col("p"), F.col("c")).alias("g"), "f").collect():
+    for row in df.select(fc.iac_framework(F.col("p"), F.col("c"), head_chars=2048).alias("g"), "f").collect():
         assert row["g"] == row["f"]
 
 

@@ -251,7 +251,7 @@ def test_top_k_paths_agree(spark):
     queries = spark.createDataFrame([(f"q{i}", f"f{i % 3}", vec()) for i in range(20)], "query_id string, framework string, embedding array<float>")
     small = corpus.match_chunks(queries, chunks, 4)
     blocks = corpus.match_chunks(queries, chunks, 4, q_block=3, c_block=5)
-    tiny = corpus._match_blocks(queries, chunks, 4, q_block=7, c_block=16)
+    tiny = corpus.match_chunks(queries, chunks, 4, q_block=7, c_block=16)
     key = lambda rows: sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in rows)
     assert key(small.collect()) == key(blocks.collect()) == key(tiny.collect())
 

@@ -125,3 +125,21 @@ def test_shared_folder_is_needed_off_local():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_whole_files_are_searched(spark):
+    from auditloom.functions import classify
+
+    late = "x: 1\n" * 900 + "kind: Pod\napiVersion: v1\n"
+    row = spark.createDataFrame([("k8s/a.yaml", late)], "p string, c string").select(
+        classify.iac_framework(F.col("p"), F.col("c")).alias("whole"), classify.iac_framework(F.col("p"), F.col("c"), 2048).alias("head")
+    ).first()
+    assert tuple(row) == ("Kubernetes", None)
+
+
+def test_new_rows_win_ties(spark):
+    from auditloom.sources import store
+
+    old = spark.createDataFrame([("k", "old", 5), ("j", "later", 9)], "key string, v string, at long")
+    new = spark.createDataFrame([("k", "new", 5), ("j", "earlier", 8)], "key string, v string, at long")
+    assert sorted(map(tuple, store.upsert(old, new, "key", "at").collect())) == [("j", "later", 9), ("k", "new", 5)]
