@@ -234,6 +234,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace("${", "$' || '{"))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many partitions as the session shuffles to.
+
+    The given tables are single row groups, which one task would read and work on alone; tables of many files need no
+    such step.  The plan does not depend on the size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cte(*names: str) -> str:
     """The derived inputs as the ``WITH`` head of a DuckDB query (without the word WITH)."""
     seen: list[str] = []

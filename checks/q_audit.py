@@ -13,14 +13,14 @@ from auditloom.session import new_folder
 from auditloom.sources import reports, store
 
 from . import oracle as O
-from .derived import view
+from .derived import dealt, view
 from .registry import check
 
 
 # --------------------------------------------------------------------------- flagship
 
 def document_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = view(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = dealt(view(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("pos"), path.alias("path"), "text")
 

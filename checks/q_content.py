@@ -10,7 +10,7 @@ from auditloom.session import new_folder
 from auditloom.sources import regulation, store
 
 from . import oracle as O
-from .derived import view
+from .derived import dealt, view
 from .q_audit import document_texts, mapped_rows, MAPPED
 from .registry import check
 
@@ -59,7 +59,7 @@ PAGE_TEXT = (
 
 
 def _page_docs(spark, sf):
-    pages = view(spark, sf, "pages")
+    pages = dealt(view(spark, sf, "pages"), "page_id")
     return pages.select(F.col("page_id").alias("doc_id"), F.expr(PAGE_TEXT).alias("content"))
 
 

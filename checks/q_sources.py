@@ -9,7 +9,7 @@ from auditloom.session import new_folder
 from auditloom.sources import files as src_files, reports, schema_files as sfiles, store
 
 from . import oracle as O
-from .derived import FIELD_NAMES, FIELD_TYPES, view
+from .derived import FIELD_NAMES, FIELD_TYPES, dealt, view
 from .registry import check
 
 # --------------------------------------------------------------------------- reports
@@ -19,7 +19,7 @@ LEVELS = ["ERROR", "Warning", "INFO", "inventory", "experiment"]
 
 def _sast_reports(spark, sf):
     """One report per event: two results, the second without severity and message."""
-    e = view(spark, sf, "events")
+    e = dealt(view(spark, sf, "events"), "event_id")
     level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("event_id") % len(LEVELS) + 1).cast("int"))
     result = lambda cid, lev, msg: F.struct(
         cid.alias("check_id"), F.concat(F.lit("src/"), "event_type").alias("path"),
@@ -133,7 +133,7 @@ def _parts(spark, sf, path: str) -> DataFrame:
     for k in (1, 5, 7):
         columns[f"n{k}"] = F.get(names, ((F.col("event_id") * k + k) % len(FIELD_NAMES)).cast("int"))
         columns[f"t{k}"] = F.get(types, ((F.col("event_id") + k) % len(FIELD_TYPES)).cast("int"))
-    return view(spark, sf, "events").withColumns(columns).withColumns({
+    return dealt(view(spark, sf, "events"), "event_id").withColumns(columns).withColumns({
         "repo_id": F.col("user_id").cast("string"), "path": F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(path)),
         "m": F.concat(F.lit("M"), F.col("event_id").cast("string")),
     })
