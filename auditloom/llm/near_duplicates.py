@@ -220,34 +220,37 @@ def exact_links(left: list[dict], right: list[dict] | None) -> list[tuple[int, i
     return _spanning(pairs, list(range(n)), lambda i, j: bool(sure[i, j]) or similarity((sets[i], weights[i]), (sets[j], weights[j])) >= SIMILAR)
 
 
-LINKS = "a binary, b binary"
+LINKS = "grp string, a binary, b binary"
 LinkFinder = Callable[[list[dict], list[dict] | None], list[tuple[int, int]]]
 
 
 def _per_group(find: LinkFinder, with_sides: bool):
     """Arrow function over rows sorted by ``grp`` (and ``side``): links found within each group, or between its sides."""
 
-    def close(rows: list[dict]) -> list[tuple[int, int]]:
+    def close(rows: list[dict]) -> list[tuple[str, bytes, bytes]]:
         if with_sides:
             left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
             pairs, rows = (find(left, right) if left and right else []), left + right
         else:
             pairs = find(rows, None) if len(rows) > 1 else []
-        return [(rows[i]["id"], rows[j]["id"]) for i, j in pairs]
+        return [(rows[i]["grp"], rows[i]["id"], rows[j]["id"]) for i, j in pairs]
+
+    def as_batch(found: list[tuple[str, bytes, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=["grp", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[str, bytes, bytes]] = []
             for at in range(0, batch.num_rows, 256):
                 for row in batch.slice(at, 256).to_pylist():
                     if held and held[0]["grp"] != row["grp"]:
                         found += close(held)
                         held = []
                     held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
-        found = close(held) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield as_batch(found)
+        yield as_batch(close(held) if held else [])
 
     return run
 
@@ -256,15 +259,15 @@ def links_within(rows: DataFrame, find: LinkFinder, payload: list[str], hub: str
     """Links (a, b) that connect what ``find`` connects within each group of ``rows (grp, n, id, payload..., hub)``.
 
     ``n`` is the size of the group.  Up to GROUP_ROWS rows meet in one task.  Of a larger group first all rows meet its
-    hub, the row with the greatest ``hub`` value; the rows that the hub does not reach then meet all rows, block by
-    block.  Only links that join two parts of what a task sees are returned, never all pairs of a group.
+    hub, the row with the greatest ``hub`` value; the rows that the hub of this group does not reach then meet all rows,
+    block by block, whatever hubs of other groups reached.  Only links that join two parts of what a task sees are returned, never all pairs of a group.
     ``rows`` should be a written table; ``grp`` is text.
     """
     small = rows.where(F.col("n").between(2, GROUP_ROWS)).select("grp", "id", *payload)
     found = small.repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(_per_group(find, False), LINKS)
     large = rows.where(F.col("n") > GROUP_ROWS)
     if large.isEmpty():
-        return found
+        return found.select("a", "b")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP_ROWS))
     large = written(large.withColumn("block", block), "large-groups")
     blocks = lambda rows: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(rows) / GROUP_ROWS) - 1))
@@ -273,14 +276,15 @@ def links_within(rows: DataFrame, find: LinkFinder, payload: list[str], hub: str
     hubs = large.groupBy("grp").agg(F.max(F.struct(hub, "id")).getField("id").alias("hub_id"))
     hub_rows = large.join(hubs, "grp").where("id = hub_id").withColumn("block", blocks("n"))
     by_hub = written(meet(side(hub_rows, ["block"], 0), side(large, ["block"], 1)), "hub-links")
-    reached = by_hub.select(F.col("a").alias("id")).unionByName(by_hub.select(F.col("b").alias("id"))).distinct()
-    rest = written(large.join(reached, "id", "left_anti"), "not-reached")
+    of_group = by_hub.withColumn("grp", F.regexp_replace("grp", "/[^/]*$", ""))
+    reached = of_group.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rest = written(large.join(reached, ["grp", "id"], "left_anti"), "not-reached")
     n_rest = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("left"))
     asked = rest.join(n_rest, "grp").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("left") / GROUP_ROWS)))
     asked = asked.withColumn("block", blocks("n"))
     told = large.join(n_rest, "grp").withColumn("part", blocks("left"))
     by_block = meet(side(asked, ["part", "block"], 0), side(told, ["part", "block"], 1))
-    return found.unionByName(by_hub).unionByName(by_block).where("a <> b")
+    return found.unionByName(by_hub).unionByName(by_block).select("a", "b").where("a <> b")
 
 
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -223,6 +223,22 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert got == {i: find(i) for i in got}
 
 
+def test_hubs_of_other_groups_do_not_hide_pairs(spark, monkeypatch):
+    """x is near hub h1, y near hub h2, and x and y are alike: they share both large groups, and each hub misses one."""
+    monkeypatch.setattr(nd, "GROUP_ROWS", 4)
+    near = {frozenset(p) for p in ("px", "qy", "xy")}  # p: hub of group 1, q: hub of group 2
+
+    def find(left, right):
+        rows = left + (right or [])
+        pairs = itertools.combinations(range(len(rows)), 2) if right is None else itertools.product(range(len(left)), range(len(left), len(rows)))
+        return [(i, j) for i, j in pairs if frozenset((rows[i]["id"] + rows[j]["id"]).decode()) in near]
+
+    rows = [(g, 6, i.encode(), 9 if i == hub else 1, b"") for g, hub, ids in (("1", "p", "pxyabc"), ("2", "q", "qxydef")) for i in ids]
+    table = spark.createDataFrame(rows, "grp string, n long, id binary, popular long, payload binary")
+    got = {frozenset((r["a"] + r["b"]).decode()) for r in nd.links_within(table, find, ["payload"], "popular").collect()}
+    assert got == near
+
+
 def test_near_duplicates_on_odd_rows(spark):
     rows = edge_rows(random.Random(4))
     docs = table(spark, rows).withColumn("row_key", F.lit(1)).withColumn("digest", F.lit(2))
