@@ -80,20 +80,26 @@ def prob_min_hash(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, n_do
     return owner.reshape(n_docs, registers)
 
 
-#: A register is kept as 16 bits of its owner's hash: enough to compare sketches, and 80 bits to a band.
+#: A register is kept as 16 bits of its owner's hash: enough to compare sketches, and 80 bits to a band.  A text with
+#: repeated shingles has a second sketch behind the first, of equal weights; for all others both are the same.
 SKETCHES = "id binary, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketch of each text, named by its digest; texts without words get none."""
+    """Sketch of each text, by its weights and (if these differ) by equal weights, named by its digest; texts without words get none."""
     for batch in batches:
         for rows, data, offsets in tb.text_blocks(batch.column("text")):
             n = len(offsets) - 1
             hashes, doc, weights = weighted_shingles(data, offsets, WORDS)
             short = (tb.mixed(prob_min_hash(hashes, doc, weights, n)) & U64(0xFFFF)).astype(np.uint16)
+            repeating = np.flatnonzero(np.bincount(doc, weights > 1, n))
+            again = np.isin(doc, repeating)
+            level = prob_min_hash(hashes[again], np.searchsorted(repeating, doc[again]), np.ones(again.sum()), len(repeating))
+            plain = dict(zip(repeating.tolist(), (tb.mixed(level) & U64(0xFFFF)).astype(np.uint16), strict=True))
+            made = [short[i].tobytes() + (plain[i].tobytes() if i in plain else b"") for i in np.flatnonzero(np.bincount(doc, minlength=n)).tolist()]
             filled = np.flatnonzero(np.bincount(doc, minlength=n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(rows.start, n).take(pa.array(filled)), pa.array([short[i].tobytes() for i in filled], pa.binary())],
+                [batch.column("id").slice(rows.start, n).take(pa.array(filled)), pa.array(made, pa.binary())],
                 names=["id", "sketch"],
             )
 
@@ -161,13 +167,20 @@ def _spanning(pairs: np.ndarray, parent: list[int], check: Callable[[int, int],
     return out
 
 
+def _registers(rows: list[dict]) -> np.ndarray:
+    """Registers of each row by weights and by equal weights (row, kind, register)."""
+    return np.stack([np.resize(np.frombuffer(r["payload"], np.uint16), (2, REGISTERS)) for r in rows])
+
+
 def sketch_links(left: list[dict], right: list[dict] | None) -> list[tuple[int, int]]:
-    """Links between rows whose sketches agree often enough; ``right`` None: within ``left``."""
-    a = np.frombuffer(b"".join(r["payload"] for r in left), np.uint16).reshape(len(left), -1)
-    b = a if right is None else np.frombuffer(b"".join(r["payload"] for r in right), np.uint16).reshape(len(right), -1)
+    """Links between rows whose sketches of either kind agree often enough; ``right`` None: within ``left``."""
+    a = _registers(left)
+    b = a if right is None else _registers(right)
+    if all(len(r["payload"]) == 2 * REGISTERS for r in left + (right or [])):
+        a, b = a[:, :1], b[:, :1]
     found = []
     for i in range(len(a)):
-        agree = (b[i + 1 if right is None else 0 :] == a[i]).sum(1)
+        agree = (b[i + 1 if right is None else 0 :] == a[i]).sum(2).max(1)
         hits = np.flatnonzero(agree >= LEAST_AGREEING) + (i + 1 if right is None else 0)
         found.append(np.stack([np.full(len(hits), i), hits + (0 if right is None else len(a))], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), int)
@@ -300,9 +313,11 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = written(texts.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")), "text-firsts")
     sketches = rows.select(F.unhex(F.md5("text")).alias("id"), "text").mapInArrow(_sketch, SKETCHES).dropDuplicates(["id"])
     sketches = written(sketches, "sketches")
-    band = F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * (2 * BAND_ROWS) + 1, 2 * BAND_ROWS))
-    ))
+    # Bands of both sketches; where a text has the same one in both, it counts once.
+    last = (F.octet_length("sketch") / (2 * BAND_ROWS)).cast("int") - 1
+    band = F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0), last), lambda b: F.xxhash64(b % BANDS, F.substring(F.col("sketch"), b * (2 * BAND_ROWS) + 1, 2 * BAND_ROWS))
+    )))
     bands = sketches.select(band.alias("band"), "id")
     groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
     # Bands that hold the same texts are needed once.
