@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.rates import LIMIT, WINDOW_SECONDS
 
-DECISION = "client string, event_id bigint, ts timestamp, allowed boolean"
+DECISION = "client string, event_id bigint, ts timestamp, allowed boolean, late boolean"
+
+
+def fits(taken: list[int], at: int, limit: int, window_us: int) -> bool:
+    """Whether no window holds more than ``limit`` of the sorted accepted times once ``at`` is one of them."""
+    near = taken[bisect_right(taken, at - window_us) : bisect_left(taken, at + window_us)]
+    before = bisect_right(near, at)
+    return before < limit and all(
+        i + 1 - bisect_right(near, near[i] - window_us) < limit for i in range(max(before, limit - 1), len(near))
+    )
 
 
-def _processor(limit: int, window_seconds: int):
+def _processor(limit: int, window_seconds: int, delay_us: int):
     """Per-client processor: the last accepted times are the state, a timer drops idle clients."""
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -22,23 +33,27 @@ def _processor(limit: int, window_seconds: int):
             import pandas as pd
 
             window_us = window_seconds * 1_000_000
-            taken = [row[0] for row in self.taken.get()]
+            watermark = timerValues.getCurrentWatermarkInMs()
+            taken = sorted(row[0] for row in self.taken.get())
             batch = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
             answers = []
-            for at in batch["at_us"]:
-                taken = [t for t in taken if t > at - window_us]
-                ok = len(taken) < limit
+            for at in batch["at_us"].tolist():
+                del taken[: bisect_right(taken, at - window_us - delay_us)]
+                ok = fits(taken, at, limit, window_us)
                 if ok:
-                    taken.append(int(at))
+                    insort(taken, at)
                 answers.append(ok)
+            if taken:
+                del taken[: bisect_right(taken, taken[-1] - window_us - delay_us)]
             self.taken.put([(t,) for t in taken])
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if taken:
-                self.handle.registerTimer(taken[-1] // 1000 + window_seconds * 1000)
+                self.handle.registerTimer(max(taken[-1] // 1000, watermark) + window_seconds * 1000)
             yield pd.DataFrame({
                 "client": [key[0]] * len(batch), "event_id": batch["event_id"].to_numpy(),
                 "ts": batch["ts"].to_numpy(), "allowed": answers,
+                "late": (watermark > 0) & (batch["at_us"].to_numpy() <= watermark * 1000),
             })
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -56,16 +71,25 @@ def rate_decision_stream(
 ) -> DataFrame:
     """Accept or deny requests ``(client, ts, event_id)`` of a stream.
 
-    State per client is at most ``limit`` times; an event-time timer removes it
-    one window after the last accepted request.  Needs the RocksDB state store.
+    Every request gets a decision.  One that comes after younger ones is accepted
+    if no window then holds more than ``limit`` of the stored times; one behind the
+    watermark is marked ``late``, as its decision rests on what is still stored.
+
+    Accepted times are stored for a window and ``delay`` before the last one, at most
+    ``limit`` a window; an event-time timer removes them one window after the last
+    accepted request (or the watermark).  All requests of a client in a micro-batch
+    are sorted in one task.  Needs the RocksDB state store.
     """
+    epoch = "timestamp '1970-01-01 00:00:00'"
+    delay_us = events.sparkSession.sql(f"SELECT unix_micros({epoch} + interval '{delay}') - unix_micros({epoch})").first()[0]
+    # Spark drops late rows where it sees the watermarked column, so only a copy of the time goes on.
     keyed = (
         events.withColumn("at_us", F.unix_micros("ts"))
         .withWatermark("ts", delay)
-        .select(F.col("client").cast("string").alias("client"), "event_id", "ts", "at_us")
+        .select(F.col("client").cast("string").alias("client"), "event_id", F.timestamp_micros("at_us").alias("ts"), "at_us")
     )
     return keyed.groupBy("client").transformWithStateInPandas(
-        _processor(limit, window_seconds), DECISION, "append", "eventTime"
+        _processor(limit, window_seconds, delay_us), DECISION, "append", "eventTime"
     )
 
 

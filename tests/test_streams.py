@@ -39,6 +39,21 @@ def test_rate_decision_stream(spark, file_stream, tmp_path):
     assert got == plain_decisions(rows, 10, 60)
 
 
+def test_late_requests_get_a_decision(spark, file_stream, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sent = [("a", 1000), ("a", 1010), ("b", 1000), ("b", 1005), ("a", 1200), ("a", 1201), ("a", 1202), ("c", 1200),
+            ("a", 1199), ("a", 1130), ("b", 1100), ("c", 1300)]
+    df = spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(sent)], "client string, event_id bigint, s bigint")
+    df = df.select("client", "event_id", F.timestamp_seconds("s").alias("ts"))
+    out = str(tmp_path / "out")
+    stream = sr.rate_decision_stream(file_stream(df, "event_id", 3), 2, 60)
+    sp.write_updates(stream, out, str(tmp_path / "cp"), "append").awaitTermination()
+    got = {r["event_id"]: (r["allowed"], r["late"]) for r in spark.read.parquet(out).collect()}
+    # Request 8 would be the third in the window that ends at 1201; 9 and 10 are late, but have room.
+    assert got == {i: (i not in (6, 8), i in (8, 9, 10)) for i in range(len(sent))}
+
+
 def test_progress_stream(spark, file_stream, tmp_path):
     rows = [("a", "osv", i, f"2024-01-01 00:0{i}:00", s, "bad" if s == "error" else None)
             for i, s in enumerate(["running", "error", "running", "completed"])]
