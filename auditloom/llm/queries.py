@@ -170,3 +170,118 @@ def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .run_index import remove_repeated_strings
 
     return remove_repeated_strings(table(spark, sf_dir, "documents"), length=100, keep_bytes=False).drop("spans")
+
+
+#: CRC-32 of the decimal number in ``doc_id``: eight steps a byte, as bits.
+CRC_SQL = """xor(4294967295, list_reduce(
+  list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE marked AS (
+  SELECT *, coalesce({CRC_SQL} % 7 = 0, false) AS hit FROM documents
+),
+leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + hit::int)")} AS claimed FROM marked
+),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS size
+  FROM leaves
+),
+nodes AS (
+  SELECT tree, 0 AS level, place AS i, size AS n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2
+),
+top AS (
+  SELECT 0 AS level, tree AS i, (SELECT count(DISTINCT tree) FROM placed) AS n, digest FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY i))
+  FROM top WHERE n > 1 GROUP BY level, i // 2
+),
+-- The way of every leaf: node after node, its sibling and the digest recomputed from the claimed leaf.
+way AS (
+  SELECT doc_id, tree, place, leaf, claimed, true AS low, 0 AS level, place AS i, size AS n, '' AS siblings, claimed AS node FROM placed
+  UNION ALL
+  SELECT doc_id, tree, place, leaf, claimed, low AND n > 1, CASE WHEN low AND n > 1 THEN level + 1 WHEN low THEN 0 ELSE level + 1 END,
+         CASE WHEN low AND n = 1 THEN tree ELSE i // 2 END,
+         CASE WHEN low AND n = 1 THEN (SELECT count(DISTINCT tree) FROM placed) ELSE (n + 1) // 2 END,
+         CASE WHEN n = 1 THEN siblings ELSE siblings || coalesce(s, '') END,
+         CASE WHEN n = 1 THEN node WHEN i % 2 = 1 THEN sha256(s || node) ELSE sha256(node || coalesce(s, '')) END
+  FROM (
+    SELECT w.*, coalesce(a.digest, b.digest) AS s FROM way w
+    LEFT JOIN nodes a ON w.low AND a.tree = w.tree AND a.level = w.level AND a.i = xor(w.i, 1)
+    LEFT JOIN top b ON NOT w.low AND b.level = w.level AND b.i = xor(w.i, 1)
+  )
+  WHERE low OR n > 1
+)
+SELECT doc_id, leaf, (SELECT digest FROM nodes x WHERE x.tree = way.tree AND x.n = 1) AS subroot,
+       (SELECT digest FROM top WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, node AS folded_root,
+       node = (SELECT digest FROM top WHERE n = 1) AS verified
+FROM way WHERE NOT low AND n = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the row as it is claimed leads to the root."""
+    from .merkle import folded, manifest, record_digest
+
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    claimed = record_digest(["doc_id", "source", "lang", F.col("n_chars") + F.when(hit, 1).otherwise(0), "text"])
+    leaf = record_digest(["doc_id", "source", "lang", "n_chars", "text"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf.alias("leaf"), F.when(hit, claimed).alias("claimed"))
+    made = manifest(docs, leaf_col="leaf", group_col="lang", order_cols=["doc_id"])
+    start = F.coalesce("claimed", "leaf")
+    siblings = F.array_join(F.transform(F.filter("path", lambda x: x.isNotNull()), lambda x: F.lower(F.hex(x))), "")
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
+        folded(start, F.col("path"), F.col("index"), F.col("height"), F.col("tree")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: White space between words, as in the contract of the corpus operators.
+BLANK = "[\\x20\\x09-\\x0D]+"
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, of which one in ten is made to repeat words up to its end."""
+    from .periodic_runs import periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", BLANK), lambda w: w != ""))
+    made = docs.withColumn("words", words).withColumns({"n": F.size("words"), "g": F.expr("h div 10")})
+    made = made.withColumn("a", F.expr("if(n > 0, int(g % n), 0)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    # Words a .. a + p - 1 over and over, cut at n.
+    tail = "slice(flatten(array_repeat(slice(words, a + 1, p), int((n - a) div p + 1))), 1, n - a)"
+    made = made.select("doc_id", F.expr(f"if(n > 0, array_join(concat(slice(words, 1, a), {tail}), ' '), text)").alias("text"))
+    found = periodic_runs(made, min_length=12, keep_text=False)
+    # The greatest length counts, then the smallest start, then the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")
+    )), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_html_text")
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
