@@ -7,21 +7,21 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as named by the cluster (``spark.checkpoint.dir``) or the context.
 
-    A local session (one machine) that names none gets a temporary folder, recorded in the session.  Anywhere else a
-    folder of one machine would lose or split the data, so that is an error.
+    A local session (one machine) that names none gets a temporary folder, set in its context.  Anywhere else a folder
+    of one machine would lose or split the data, so that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    master = spark.sparkContext.master
-    if not folder and not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = folder or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="auditloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="auditloom-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.progress import DONE, SCANNERS
-from ..schemas import FINDING
+from ..schemas import FINDING_COLUMNS
 from ..sources.store import is_fresh
-
-BUCKETS = 64
+from .barrier import released_audits
+from .results import RESULT_SECONDS
+from .state import rocksdb
 
 
 def progress_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -60,72 +61,43 @@ def incremental_findings(
     checkpoint: str,
     report: Callable[[DataFrame, DataFrame], DataFrame],
     scanners=SCANNERS,
+    wait_seconds: int = 3600,
+    grace_seconds: int = 24 * 3600,
+    delay: str = "10 minutes",
     **trigger,
 ):
-    """Maps each audit once, as soon as all its scanners have reported.
+    """Reports each audit as soon as all its scanners have answered, and again when more comes.
 
-    ``stream`` carries findings plus ``audit_id`` (the repository's run) and
-    ``node``; a row with NULL ``tool`` only says that the scanner ended.  Every
-    batch appends its rows, then the audits it touched are tested for completeness
-    and the newly complete ones reported.  Tables are partitioned by a bucket of
-    the audit id, and only the buckets of the batch are read back.
+    ``stream`` and the rules of release: see ``barrier.released_audits``.  Every batch writes the reports of the audits
+    it releases to ``root/reports/batch=<id>``, with ``revision``, ``outcome`` and ``missing``; ``latest_reports`` gives
+    the newest per audit.  Nothing of earlier batches is read back.
     """
-    columns = FINDING.split(", ")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("audit_id"), F.lit(BUCKETS)).cast("int"))
-        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{root}/findings/batch={batch_id}"
-        )
-        mine = spark.read.parquet(f"{root}/findings/batch={batch_id}")
-        touched = mine.select("audit_id", "bucket").distinct()
-        buckets = [row[0] for row in touched.select("bucket").distinct().collect()]  # at most BUCKETS values
-        if not buckets:
-            return
-        stored = _until(spark.read.option("basePath", f"{root}/findings").parquet(f"{root}/findings"), batch_id).where(
-            F.col("bucket").isin(*buckets)
-        )
-        complete = (
-            stored.join(touched.select("audit_id"), "audit_id", "left_semi")
-            .where(F.col("node").isin(*scanners))
-            .groupBy("audit_id")
-            .agg(F.count_distinct("node").alias("n"))
-            .where(F.col("n") == len(scanners))
-            .select("audit_id")
-        )
-        done = _reported_before(spark, f"{root}/reports", batch_id)
-        if done is not None:
-            complete = complete.join(done, "audit_id", "left_anti")
-        rows = stored.join(complete, "audit_id", "left_semi").where("tool is not null")
-        findings = rows.withColumn("repo_id", F.col("audit_id")).select(*[c.split(" ")[0] for c in columns])
+        rows = batch.persist()
+        heads = rows.where("tool is null").select("audit_id", "revision", "outcome", "missing")
+        # A batch that follows a long break may release an audit twice (timed out, then revised): the last counts.
+        last = heads.groupBy("audit_id").agg(F.max_by(F.struct("revision", "outcome", "missing"), "revision").alias("head"))
+        findings = rows.where("tool is not null").join(last, "audit_id").where("revision = head.revision").select(*FINDING_COLUMNS)
         # The repositories are given as well: an audit without findings has a report, too.
-        full = report(findings, complete.withColumnRenamed("audit_id", "repo_id")).withColumnRenamed("repo_id", "audit_id")
-        full.write.mode("overwrite").parquet(f"{root}/reports/batch={batch_id}")
-
-    return (
-        stream.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(step)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def _until(rows: DataFrame, batch_id: int) -> DataFrame:
-    return rows.where(F.col("batch") <= batch_id)
-
-
-def _reported_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Audits reported by earlier batches, or None before the first."""
-    if batch_id == 0 or not _exists(spark, path):
-        return None
-    return spark.read.parquet(path).where(F.col("batch") < batch_id).select("audit_id")
+        full = report(findings, last.select(F.col("audit_id").alias("repo_id"))).withColumnRenamed("repo_id", "audit_id")
+        full.join(last.select("audit_id", "head.*"), "audit_id").write.mode("overwrite").parquet(f"{root}/reports/batch={batch_id}")
+        rows.unpersist()
+
+    with rocksdb(stream.sparkSession):
+        return (
+            released_audits(stream, scanners, wait_seconds, grace_seconds, delay)
+            .writeStream.outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(step)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def latest_reports(spark: SparkSession, root: str) -> DataFrame:
+    """The newest report of each audit."""
+    return latest_updates(spark, f"{root}/reports", ["audit_id"])
 
 
 def live_results(results: DataFrame, as_of) -> DataFrame:
@@ -139,7 +111,3 @@ def fresh_cache_stream(cache: DataFrame, delay: str = "24 hours") -> DataFrame:
     return cache.withWatermark("created_at", delay).where(
         is_fresh(F.col("cache_key"), F.col("created_at"), F.current_timestamp())
     )
-
-
-# Seconds a result is kept after it was first read
-RESULT_SECONDS = 600

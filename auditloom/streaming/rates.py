@@ -93,6 +93,46 @@ def rate_decision_stream(
     )
 
 
+def _gate(limit: int, window_seconds: int):
+    from pyspark.sql.streaming import StatefulProcessor
+    from pyspark.sql.types import Row
+
+    class GateProcessor(StatefulProcessor):
+        """State of a client: one element per accepted request, each with a life time of a window."""
+
+        def init(self, handle):
+            self.taken = handle.getListState("taken", "event_id bigint", window_seconds * 1000)
+
+        def handleInputRows(self, key, rows, timerValues):
+            # What has expired is no longer given, whether it was removed yet or not.
+            held = sum(1 for _ in self.taken.get())
+            for row in rows:
+                allowed = held < limit
+                if allowed:
+                    self.taken.appendValue((row["event_id"],))
+                    held += 1
+                yield Row(client=key[0], event_id=row["event_id"], allowed=allowed)
+
+        def close(self):
+            pass
+
+    return GateProcessor()
+
+
+def request_gate_stream(requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Accept or deny requests ``(client, event_id)`` by the time at which they are processed.
+
+    As ``rate_decision_stream``, but on the clock of the engine: an accepted request is state for ``window_seconds``
+    (``ttlDurationMs``), and a client with ``limit`` of these is denied.  The store removes what has expired, so idle
+    clients cost nothing and no timer is kept.  Rows stream through; at most ``limit`` elements of a client are held.
+    Needs the RocksDB state store.
+    """
+    keyed = requests.select(F.col("client").cast("string").alias("client"), "event_id")
+    return keyed.groupBy("client").transformWithState(
+        _gate(limit, window_seconds), "client string, event_id bigint, allowed boolean", "append", "processingTime"
+    )
+
+
 def burst_count_stream(
     events: DataFrame, window_seconds: int = WINDOW_SECONDS, slide_seconds: int = 10, delay: str = "1 minute"
 ) -> DataFrame:

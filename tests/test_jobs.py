@@ -282,8 +282,10 @@ def test_cache(spark):
     as_of = F.lit("2024-01-02 12:00:00").cast("timestamp")
     keys = spark.createDataFrame([("own_1",), ("fb_1",), ("fb_2",), ("none",), ("own_2",)], "cache_key string")
     assert {r["cache_key"]: r["report"] for r in store.cache_lookup(newest, keys, as_of).collect()} == {
-        "own_1": "b", "fb_1": "c", "fb_2": None, "none": None, "own_2": None}
+        "own_1": "b", "fb_1": "c", "fb_2": None, "none": None, "own_2": "e"}  # without a time: never too old
     assert tuple(store.stale_count(newest.where("created_at is not null"), as_of).first()) == (1, 2)
+    dated = cache.where("cache_key = 'own_1'").withColumn("created_at", F.when(F.col("report") == "a", F.col("created_at")))
+    assert [r["report"] for r in store.upsert(dated.limit(0), dated, "cache_key", "created_at").collect()] == ["a"]
 
 
 # --------------------------------------------------------------------------- ordered jobs and skew

@@ -120,6 +120,9 @@ def test_shared_folder_is_needed_off_local():
         def getConf(self):
             return Conf()
 
+        def getCheckpointDir(self):
+            return None
+
     class Session:
         conf, sparkContext = Conf(), Context()
 
@@ -143,3 +146,25 @@ def test_new_rows_win_ties(spark):
     old = spark.createDataFrame([("k", "old", 5), ("j", "later", 9)], "key string, v string, at long")
     new = spark.createDataFrame([("k", "new", 5), ("j", "earlier", 8)], "key string, v string, at long")
     assert sorted(map(tuple, store.upsert(old, new, "key", "at").collect())) == [("j", "later", 9), ("k", "new", 5)]
+
+
+def test_session_without_a_shared_folder(tmp_path):
+    """A local session whose configuration names no folder can store scratch tables."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from auditloom.session import new_folder, shared_dir\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "path = new_folder(spark, 'x')\n"
+        "spark.range(3).write.parquet(path)\n"
+        "assert spark.read.parquet(path).count() == 3 and shared_dir(spark) == shared_dir(spark)\n"
+        "print('stored')\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300, cwd=root)
+    assert "stored" in done.stdout, done.stderr[-2000:]
