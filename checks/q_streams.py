@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditloom.operators import progress, rates
 from auditloom.plans import audit
 from auditloom.session import new_folder
-from auditloom.streaming import progress as sprogress, rates as srates
+from auditloom.streaming import barrier as sbarrier, progress as sprogress, rates as srates, results as sresults, state as sstate
 
 from . import oracle as O
 from .derived import view
@@ -95,6 +95,22 @@ def _event_stream(spark, sf):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+# Third of the month of an event: the streams get one after the other.
+PART = "CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+
+
+def _in_runs(spark, sf, start):
+    """``start(event stream, checkpoint)`` three times: a third of the month more each time, from the same checkpoint."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder = new_folder(spark, "runs")
+    for part in range(3):
+        events.where(F.expr(PART) == part).write.parquet(f"{folder}/in/p{part}")
+        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        with sstate.rocksdb(spark):
+            start(stream.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/checkpoint"
+
+
 NODES = ["semgrep", "osv", "github", "scan_secrets_pii", "scan_repo_governance", "scan_sbom_license", "scan_iac_config",
          "scan_cicd_security", "scan_data_classification", "orchestrator", "fan_out"]
 
@@ -119,19 +135,92 @@ def progress_stream(spark, sf):
     return _shown(sprogress.latest_updates(spark, f"{out}/table", ["audit_id", "node"]))
 
 
+def _rate_runs(spark, sf, out):
+    def start(events, checkpoint):
+        requests = events.select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
+        return sprogress.write_updates(srates.rate_decision_stream(requests, 10, RATE_WINDOW), out, checkpoint, "append")
+
+    return _in_runs(spark, sf, start)
+
+
 @check("rate_decision_stream", DECISIONS)
 def rate_decision_stream(spark, sf):
-    """The decisions of ``rate_decisions`` on a stream."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    requests = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
+    """The decisions of ``rate_decisions`` on a stream that is started anew twice."""
     out = new_folder(spark, "rates")
-    sprogress.write_updates(
-        srates.rate_decision_stream(requests, 10, RATE_WINDOW), f"{out}/table", f"{out}/checkpoint", "append"
-    ).awaitTermination()
-    return spark.read.parquet(f"{out}/table").select(F.col("client").cast("bigint").alias("client"), "event_id", "allowed")
+    _rate_runs(spark, sf, out)
+    return spark.read.parquet(out).select(F.col("client").cast("bigint").alias("client"), "event_id", "allowed")
+
+
+@check("idle_client_state", DECISIONS.replace("SELECT user_id AS client, event_id, allowed FROM f", "") + f""",
+    taken AS (SELECT user_id, us FROM f JOIN e USING (user_id, rn) WHERE allowed),
+    ends AS (SELECT user_id, max(us) AS last FROM taken GROUP BY 1)
+    SELECT user_id AS client, count(*) AS stored FROM taken JOIN ends USING (user_id)
+    WHERE us > last - {RATE_WINDOW * 1_000_000} AND last + {RATE_WINDOW * 1_000_000} > (SELECT max(epoch_us(ts)) FROM events) GROUP BY 1""")
+def idle_client_state(spark, sf):
+    """What the store holds of the rate limits after three runs: nothing of clients that were idle for a window."""
+    checkpoint = _rate_runs(spark, sf, new_folder(spark, "rates"))
+    return sstate.state_counts(spark, checkpoint, "taken").select(F.col("key.client").cast("bigint").alias("client"), F.col("n").alias("stored"))
+
+
+KEEP = 48 * 3600
+
+
+@check("result_stream", f"""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_id % 4 = 0 AS saved, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f AS (
+        SELECT user_id, rn, us, saved, saved AS held, CAST(NULL AS BIGINT) AS first_us, 0 AS reads, false AS found, CAST(NULL AS BIGINT) AS gone, 0 AS gone_reads FROM e WHERE rn = 1
+        UNION ALL
+        SELECT user_id, rn, us, saved, alive OR saved, CASE WHEN alive AND first_us IS NOT NULL THEN first_us WHEN alive AND NOT saved THEN us END,
+               CASE WHEN alive AND NOT saved THEN reads + 1 WHEN alive THEN reads ELSE 0 END, alive AND NOT saved,
+               CASE WHEN held AND NOT alive THEN first_us + {KEEP * 1_000_000} END, reads
+        FROM (SELECT e.*, f.held, f.first_us, f.reads, f.held AND coalesce(e.us < f.first_us + {KEEP * 1_000_000}, true) AS alive
+              FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)),
+    ends AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)
+    SELECT user_id AS result_id, 'read' AS kind, us, found, CAST(CASE WHEN found THEN reads ELSE 0 END AS BIGINT) AS reads FROM f WHERE NOT saved
+    UNION ALL SELECT user_id, 'removed', gone, true, gone_reads FROM f WHERE gone IS NOT NULL
+    UNION ALL SELECT user_id, 'removed', first_us + {KEEP * 1_000_000}, true, reads FROM ends
+    WHERE held AND first_us + {KEEP * 1_000_000} <= (SELECT max(epoch_us(ts)) FROM events)""")
+def result_stream(spark, sf):
+    """Reads of results and removals two days after the first read, over three runs."""
+    out = new_folder(spark, "results")
+
+    def start(events, checkpoint):
+        kind = F.when(F.col("event_id") % 4 == 0, "saved").otherwise("read")
+        steps = events.select(F.col("user_id").alias("result_id"), kind.alias("kind"), "ts", "event_id")
+        return sprogress.write_updates(sresults.result_stream(steps, KEEP), out, checkpoint, "append")
+
+    _in_runs(spark, sf, start)
+    return spark.read.parquet(out).select(F.col("result_id").cast("bigint").alias("result_id"), "kind", F.unix_micros("ts").alias("us"), "found", "reads")
+
+
+IDLE = 24 * 3600
+
+
+@check("audit_status_stream", O.with_(O.inputs("d_node_events")) + f""",
+    g AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY audit_id ORDER BY ts, event_id) AS gap FROM d_node_events),
+    s AS (SELECT *, sum(CASE WHEN gap > {IDLE * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY audit_id ORDER BY us, event_id) AS no FROM g),
+    k AS (SELECT *, row_number() OVER (PARTITION BY audit_id, no, node ORDER BY us DESC, event_id DESC) AS rn FROM s)
+    SELECT audit_id, min(us) AS opened, max(us) AS last,
+           CASE WHEN bool_or(rn = 1 AND status = 'error') THEN 'error' WHEN bool_and(rn > 1 OR status <> 'running') THEN 'completed' ELSE 'running' END AS status,
+           count(*) FILTER (rn = 1) AS nodes, arg_max(error, [us, event_id]) FILTER (error IS NOT NULL) AS error
+    FROM k GROUP BY audit_id, no HAVING max(us) + {IDLE * 1_000_000} < (SELECT max(us) FROM s) - 600000000""")
+def audit_status_stream(spark, sf):
+    """Audits that nothing was heard of for a day, closed with the status of their nodes, over three runs."""
+    out = new_folder(spark, "closed")
+
+    def start(events, checkpoint):
+        state = F.col("event_id") % 7
+        status = F.when(state == 0, "error").when(state.isin(1, 2), "running").when(state == 3, "skipped").otherwise("completed")
+        nodes = events.select(
+            F.col("user_id").cast("string").alias("audit_id"), _node("event_id * 3 + user_id").alias("node"), "ts", "event_id",
+            status.alias("status"), F.when(state == 0, F.concat(F.lit("failed at "), F.col("event_id").cast("string"))).alias("error"),
+        )
+        return sprogress.write_updates(sbarrier.audit_status_stream(nodes, IDLE), out, checkpoint, "append")
+
+    _in_runs(spark, sf, start)
+    return spark.read.parquet(out).select(
+        "audit_id", F.unix_micros("opened_at").alias("opened"), F.unix_micros("last_at").alias("last"), "status", "nodes", "error"
+    )
 
 
 @check("burst_count_stream", """
@@ -165,21 +254,50 @@ STREAMED = [
 @check("incremental_findings", O.with_(*STREAMED) + """
     SELECT repo_id AS audit_id, overall_score, score_soc2, score_gdpr, critical, high, medium, low FROM s_report""")
 def incremental_findings(spark, sf):
+    """Reports of the stream after three runs: each audit's newest is the report of all its findings."""
+    root = new_folder(spark, "incremental")
+    _in_runs(spark, sf, lambda events, checkpoint: sprogress.incremental_findings(
+        _streamed(events), root, checkpoint, audit.audit_report, wait_seconds=FOREVER, grace_seconds=FOREVER
+    ))
+    return sprogress.latest_reports(spark, root).select(
+        "audit_id", "overall_score", "score_soc2", "score_gdpr", "critical", "high", "medium", "low"
+    )
+
+
+# Longer than the data: no audit times out, none is forgotten.
+FOREVER = 90 * 86400
+
+
+def _streamed(events):
     e = F.col("event_id")
     severity = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (e % 4 + 1).cast("int"))
     rule = F.element_at(F.array(*map(F.lit, ["a.sqli", "b.hardcoded-password", "c.xss", "d.redos", "e.plain"])), (e % 5 + 1).cast("int"))
     none = F.lit(None).cast("string")
-    findings = _event_stream(spark, sf).select(
-        F.col("user_id").cast("string").alias("audit_id"),
+    return events.select(
+        "ts", F.col("user_id").cast("string").alias("audit_id"),
         F.element_at(F.array(*map(F.lit, NODES[:9])), (e % 9 + 1).cast("int")).alias("node"),
         F.lit(0).alias("src_ord"), e.alias("pos"), F.lit("semgrep").alias("tool"), severity.alias("severity"),
         F.concat(F.lit("Rule "), "event_type").alias("title"), F.lit("Text").alias("description"), none.alias("file_path"),
         rule.alias("rule_id"), none.alias("finding_type"), none.alias("remediation"),
     )
-    out = new_folder(spark, "incremental")
-    sprogress.incremental_findings(findings, f"{out}/tables", f"{out}/checkpoint", audit.audit_report).awaitTermination()
-    return spark.read.parquet(f"{out}/tables/reports").select(
-        "audit_id", "overall_score", "score_soc2", "score_gdpr", "critical", "high", "medium", "low"
+
+
+@check("released_audits", f"""
+    WITH p AS (SELECT user_id, event_id % 9 AS node, {PART} AS part FROM events),
+    first AS (SELECT user_id, node, min(part) AS part FROM p GROUP BY 1, 2),
+    whole AS (SELECT user_id, max(part) AS part FROM first GROUP BY 1 HAVING count(*) = 9),
+    n AS (SELECT user_id, part, sum(count(*)) OVER (PARTITION BY user_id ORDER BY part) AS n FROM p GROUP BY 1, 2),
+    r AS (SELECT n.user_id, n.n, row_number() OVER (PARTITION BY n.user_id ORDER BY n.part) AS revision FROM n JOIN whole ON n.user_id = whole.user_id AND n.part >= whole.part)
+    SELECT user_id AS audit_id, CAST(revision AS INTEGER) AS revision, CASE WHEN revision = 1 THEN 'complete' ELSE 'revised' END AS outcome,
+           CAST(n AS BIGINT) AS n_findings, CAST(n AS BIGINT) AS given FROM r""")
+def released_audits(spark, sf):
+    """Each audit's first release, in the run in which its last scanner answers, and its revisions in later runs."""
+    out = new_folder(spark, "released")
+    _in_runs(spark, sf, lambda events, checkpoint: sprogress.write_updates(
+        sbarrier.released_audits(_streamed(events), wait_seconds=FOREVER, grace_seconds=FOREVER), out, checkpoint, "append"
+    ))
+    return spark.read.parquet(out).groupBy(F.col("audit_id").cast("bigint").alias("audit_id"), "revision", "outcome", "n_findings").agg(
+        F.count("tool").alias("given")
     )
 
 
