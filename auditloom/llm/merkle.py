@@ -14,7 +14,7 @@ from .scratch import unused, written
 #: Levels of a tree that one task builds from 2**LEVELS neighbouring nodes; more levels take another round.
 LEVELS = 8
 #: Bytes up to which the ancestors of a jump are sent to every task, worked out from the sizes of the trees.
-FEW_BYTES = 16 << 20
+FEW_BYTES = 1 << 20
 #: Tree number of the tree whose leaves are the roots of the others.
 TOP = -1
 
@@ -208,6 +208,7 @@ def manifest(rows: DataFrame, leaf_col: str = "leaf", group_col: str = "lang", o
         if reach < (totals["tallest"] or 0) + top_height:
             above = written(_jump(above.where(f"node.level >= {reach} OR node.tree = {TOP}"), above, few), "merkle-jumps")
     named = subroots.select(F.col("idx").alias("tree"), F.lower(F.hex("digest")).alias("subroot"))
-    return rows_up.join(named, "tree").select(
+    few = totals["n"] * 100 <= FEW_BYTES
+    return rows_up.join(F.broadcast(named) if few else named, "tree").select(
         f"{carried}.*", "tree", "height", "index", "subroot", F.lit(root[0] if root else None).cast("string").alias("root"), "path"
     )
