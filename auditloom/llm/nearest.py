@@ -20,6 +20,9 @@ class Quantised:
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.exact = vectors
+        # Scaled by powers of two, so that neither lengths nor codes of very small or large vectors vanish.
+        self.power = np.frexp(np.abs(vectors).max(1))[1]
+        vectors = np.ldexp(vectors, -self.power[:, None])
         top = np.abs(vectors).max(1)
         self.scale = top / 127
         self.whole = np.rint(vectors / self.scale[:, None])
@@ -32,27 +35,31 @@ class Quantised:
 
 
 def tile_bounds(queries: Quantised, found: Quantised) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate products of every query with every candidate, and by how much they may be off.
+    """Least and greatest value that the score of every query with every candidate may have.
 
-    x.y = x'.y' + x'.(y - y') + (x - x').y, so the error is at most |x'| |y - y'| + |x - x'| |y|.
+    x.y = x'.y' + x'.(y - y') + (x - x').y, so the error is at most |x'| |y - y'| + |x - x'| |y|; the sums of the score
+    itself are rounded, at the least number that can be told from zero by one unit a component.
     """
     near = (queries.tile @ found.tile.T).astype(np.float64) * queries.scale[:, None] * found.scale[None, :]
     off = queries.rounded_length[:, None] * found.rest_length[None, :] + queries.rest_length[:, None] * found.length[None, :]
     slack = 1e-9 * queries.length[:, None] * found.length[None, :]
-    return near, off + slack
+    power = queries.power[:, None] + found.power[None, :]
+    least = 2 * found.exact.shape[1] * np.finfo(np.float64).smallest_subnormal
+    with np.errstate(over="ignore", under="ignore"):
+        return np.ldexp(near - off - slack, power) - least, np.ldexp(near + off + slack, power) + least
 
 
 def best_of_tile(query_ids: np.ndarray, queries: Quantised, ids: np.ndarray, found: Quantised, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query its k greatest exact products among the candidates, as (-score, id) in order."""
-    near, off = tile_bounds(queries, found)
-    near[query_ids[:, None] == ids[None, :]] = -np.inf
-    low, high = near - off, near + off
+    low, high = tile_bounds(queries, found)
+    own = query_ids[:, None] == ids[None, :]
+    low[own] = high[own] = -np.inf
     if len(ids) > k:
         reach = -np.partition(-low, k - 1, axis=1)[:, k - 1]
     else:
         reach = np.full(len(query_ids), -np.inf)
     for i, ident in enumerate(query_ids.tolist()):
-        left = np.flatnonzero((high[i] >= reach[i]) & (near[i] > -np.inf))
+        left = np.flatnonzero((high[i] >= reach[i]) & ~own[i])
         score = np.add.accumulate(found.exact[left] * queries.exact[i], axis=1)[:, -1]  # summed from the first component on
         if len(left) > k:
             edge = -np.partition(-score, k - 1)[k - 1]
