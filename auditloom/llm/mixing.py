@@ -40,12 +40,19 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
         F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     leveled = room.withColumn("full", F.col("most") <= F.col("weight") * level)
-    left = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(whole), F.lit(0.0))
+    left = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(
+        F.sum(F.when(F.col("full"), F.col("most")).cast("decimal(28,9)")).over(whole).cast("double"), F.lit(0.0)
+    )
     rest = F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole)
     target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * left / rest)
     return leveled.withColumn("target", target).select("source", "name", "source_size", "n_docs", "target")
 
 
+def _total(value: Column) -> Column:
+    """Sum of doubles as decimals of nine places: the same whatever the order in which the shuffle brings them."""
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
+
+
 def tilts(sizes: DataFrame, sources: DataFrame, cap: float, rounds: int = 60, exact: float = 1e-6) -> DataFrame:
     """The dual variable of each source: columns name, tilt, mean.
 
@@ -73,7 +80,7 @@ def tilts(sizes: DataFrame, sources: DataFrame, cap: float, rounds: int = 60, ex
         rate = F.exp(F.least(pull, log_cap))
         words = F.col("n") * F.col("size") * rate
         sums = sizes.join(state.where("NOT done").select("name", "tilt", "mean"), "name").groupBy("name").agg(
-            F.sum(words).alias("reached"), F.sum(F.when(free, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")
+            _total(words).alias("reached"), _total(F.when(free, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")
         )
         over = F.col("reached") - F.col("target")
         stepped = state.join(sums, "name", "left").withColumn("low2", F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn(
@@ -89,11 +96,12 @@ def tilts(sizes: DataFrame, sources: DataFrame, cap: float, rounds: int = 60, ex
     return state.select("name", "tilt", "mean")
 
 
-def _rounded(sizes: DataFrame, sources: DataFrame, cap: float, corrections: int = 16) -> DataFrame:
+def _rounded(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     """Per (source, size): ``base`` copies for each document and ``more``, how many documents get one more.
 
     Running sums of the fractions from the largest size down are rounded, so counts follow the rates; the few words then
-    missing or over are made up by single copies, largest fitting size first.
+    missing or over are made up by single copies, largest fitting size first, until none fits: every round takes from what
+    is missing, so it ends.
     """
     down = Window.partitionBy("name").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     parts = sizes.withColumn("base", F.floor("rate").cast("long")).withColumn("part", F.col("n") * (F.col("rate") - F.col("base")))
@@ -103,7 +111,7 @@ def _rounded(sizes: DataFrame, sources: DataFrame, cap: float, corrections: int
     ).select("grp", "name", "size", "n", "rate", "base", "more")
     dealt = written(dealt, "rounded")
     goal = sources.select("name", "target")
-    for _ in range(corrections):
+    while True:
         taken = dealt.groupBy("name").agg(F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("more"))).alias("taken"))
         miss = goal.join(taken, "name").withColumn("miss", F.col("target") - F.col("taken")).where(F.abs("miss") > F.col("target") * NEAR)
         room = F.when(F.col("miss") > 0, F.when(F.col("base") + 1 <= F.lit(cap), F.col("n") - F.col("more")).otherwise(0)).otherwise(F.col("more"))
