@@ -43,15 +43,27 @@ def kgram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     return _mixed((sums[k:] - sums[:-k]) * _powers(INVERSE, n - k + 1))
 
 
+def shape(n: int, k: int, window: int) -> tuple[int, int]:
+    """Length of the k-grams and of the windows for a text of ``n`` code points.
+
+    Either half of a text must hold a whole window, so windows are shorter in texts of fewer than ``2 * (k + window - 1)``
+    code points, and k-grams in those of fewer than ``2 * k``.  What a long window chooses, a short one chooses, too, so
+    texts of different lengths stay comparable down to ``2 * k``.
+    """
+    k = max(1, min(k, n // 2))
+    return k, max(1, min(window, n // 2 - k + 1))
+
+
 def winnow(points: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (40 bits) and places of the chosen k-grams: the least of each window, the rightmost if equal.
 
-    Fewer than ``window`` k-grams: the least of all.  Fewer than k code points: one hash of the whole; none: nothing.
+    Both lengths follow ``shape``.  No code points: nothing.
     """
     n = len(points)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    hashes = kgram_hashes(points, min(k, n)) >> U64(PLACE_BITS)
+    k, window = shape(n, k, window)
+    hashes = kgram_hashes(points, k) >> U64(PLACE_BITS)
     found, width = [], max(1, min(window, len(hashes)))
     # Places count from the start of a stretch; stretches overlap by one window less one, so each window lies in one.
     step = PLACES + 1
@@ -88,11 +100,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 24, window: int = 72) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 16, window: int = 72) -> DataFrame:
     """Columns: id, ``hashes`` and ``places`` (arrays of long) of the chosen k-grams of each text.
 
-    Any passage of ``k + window - 1`` code points that two texts share puts at least one equal hash into both.
-    Null text counts as empty and has none; one row per input row.
+    Any passage of ``k + window - 1`` code points that two texts share puts at least one equal hash into both, and so
+    does half of a text of ``2 * k`` or more that stays as it is (see ``shape``).  Null text counts as empty and has
+    none; one row per input row, repeated rows alike.  Other columns are not read.  Empty table: empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +144,7 @@ def _range_of(cuts: list[int]):
 
 
 def edited_fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 24, window: int = 72, ranges: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 16, window: int = 72, ranges: int | None = None
 ) -> DataFrame:
     """Fingerprint of each text, of the text with its second half replaced, and of how near they are.
 
