@@ -38,8 +38,7 @@ placed AS (
   FROM lines
 ),
 ranked AS (
-  SELECT *, length(form) - length(replace(form, ' ', '')) + 1 >= 3 AND form <> ''
-            AND row_number() OVER (PARTITION BY form ORDER BY doc_id, row_id, start) > 1 AS gone
+  SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, row_id, start) > 1 AS gone
   FROM placed
 ),
 whole AS (
@@ -121,7 +120,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form."""
     from .winnowing import edited_fingerprints
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"), k=24, window=72)
+    return edited_fingerprints(table(spark, sf_dir, "documents"), k=16, window=72)
 
 
 @query("op8_quality")

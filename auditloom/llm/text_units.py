@@ -52,12 +52,12 @@ def _digests(kind: str, min_words: int):
 
 
 def drop_repeated_units(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = 1
 ) -> DataFrame:
     """``docs`` with every later occurrence of a line (or paragraph) taken out of the text.
 
     Units are equal if their words of letters and digits are, whatever the case, punctuation and white space between.
-    Units of fewer than ``min_words`` words never go.  The occurrence of the smallest rank (id, then row digest, then
+    Units without a letter or digit, or of fewer than ``min_words`` words, never go.  The occurrence of the smallest rank (id, then row digest, then
     place in the text) stays, all others go.  ``kind``: "line", or "paragraph" (parted by blank lines).
 
     Columns of ``docs`` stay, with the kept text (kept units joined by a line feed or a blank line); four are added:
