@@ -136,6 +136,20 @@ def test_longer_texts_lose_first_where_words_are_over(spark):
     assert all(x >= y for x, y in zip(ordered, ordered[1:])) and ordered[0] > ordered[-1]
 
 
+def test_rates_do_not_depend_on_how_the_rows_are_dealt(spark):
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.randrange(1, 400)), rng.choice("abcde")) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    made = []
+    try:
+        for parts, shuffled, order in ((1, "2", rows), (7, "5", rows[::-1])):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            made.append(sorted(tuple(r) for r in mixing.copies(table(spark, order).repartition(parts)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1]
+
+
 def test_mix_of_nothing(spark):
     assert mixing.copies(table(spark, [])).count() == 0 and mixing.mix(table(spark, [])).count() == 0
     assert mixing.mix(table(spark, [(1, None, None), (2, "", "a")])).count() == 2
@@ -168,8 +182,29 @@ def test_nearest_equal_brute_force(spark, monkeypatch):
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = nearest.Quantised(rng.normal(size=(50, 32))), nearest.Quantised(rng.normal(size=(60, 32)) * 100)
-    near, off = nearest.tile_bounds(a, b)
-    assert (np.abs(a.exact @ b.exact.T - near) <= off).all()
+    low, high = nearest.tile_bounds(a, b)
+    exact = a.exact @ b.exact.T
+    assert (low <= exact).all() and (exact <= high).all() and (high - low < 1e4).all()
+
+
+@pytest.mark.parametrize("scale", [1e-170, 1e-320, 1e150, None])
+def test_very_small_and_large_vectors_keep_their_place(spark, scale):
+    """Squares and codes of such vectors vanish in double precision; only scores as they are count."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(200, 8))
+    data = data * scale if scale else data * 10.0 ** rng.integers(-300, 150, size=(200, 1))
+    data[7] = 0
+    data[7, 0] = 5e-324
+    data = data[(data != 0).any(1)]
+    n = len(data)
+    made = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)], "vec_id long, embedding array<double>, label int")
+    got = nearest.nearest_vectors(made, F.col("vec_id") % 20 == 0, k=20).collect()
+    want = set()
+    for q in range(0, n, 20):
+        scores = np.add.accumulate(data * data[q], axis=1)[:, -1]
+        order = [i for i in np.lexsort((np.arange(n), -scores)) if i != q][:20]
+        want |= {(q, rank, int(i), float(scores[i])) for rank, i in enumerate(order, 1)}
+    assert {tuple(r) for r in got} == want
 
 
 # --------------------------------------------------------------------------- quality
@@ -219,7 +254,10 @@ def winnowed_by_hand(text, k, window):
     points = np.array([ord(c) for c in text], np.uint32)
     if not len(points):
         return []
-    hashes = (winnowing.kgram_hashes(points, min(k, len(points))) >> np.uint64(24)).tolist()
+    # Either half holds a whole window.
+    k = max(1, min(k, len(points) // 2))
+    window = max(1, min(window, len(points) // 2 - k + 1))
+    hashes = (winnowing.kgram_hashes(points, k) >> np.uint64(24)).tolist()
     width = min(window, len(hashes))
     picked = []
     for i in range(len(hashes) - width + 1):
@@ -243,6 +281,28 @@ def test_winnowing_equals_brute_force():
     assert one & two
 
 
+def test_a_kept_half_is_always_seen():
+    rng = random.Random(12)
+    for n in [2, 3, 7, 15, 30, 31, 32, 33, 60, 95, 120, 174, 175, 300, 1000]:
+        for _ in range(20):
+            text = "".join(rng.choice("abcdefghij") for _ in range(n))
+            edited = text[: n - n // 2] + "".join(rng.choice("klmnop") for _ in range(n // 2))
+            one, two = (np.unique(winnowing.winnow(winnowing._code_points(t), 16, 72)[0]) for t in (text, edited))
+            assert winnowing.likeness(one, two) > 0
+
+
+def test_near_next_by_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(i, words(rng, rng.randrange(80), 30), "s") for i in range(40)]
+    got = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in winnowing.edited_fingerprints(table(spark, rows), ranges=3).collect()}
+    for i, text, _ in rows:
+        after = rows[i - 1][1]
+        half = len(text) // 2
+        sets = [{h for h, _ in winnowed_by_hand(t, 16, 72)} for t in (text, text[: len(text) - half] + after[:half], after)]
+        want = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
+        assert got[i] == pytest.approx(want)
+
+
 def test_edited_fingerprints(spark):
     rng = random.Random(10)
     rows = [(i * 3 % 101, words(rng, rng.randrange(60)) + "é中", "s") for i in range(101)] + [(200, None, "s"), (201, "", "s"), (3, "tie", "s"), (3, "tie", "s"), (None, "last", "s")]
