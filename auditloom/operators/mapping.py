@@ -15,6 +15,7 @@ from ..functions.classify import (
     curated_entry, cve_subtype, finding_type, known_type, rule_text,
 )
 from ..functions.text import filled, or_else
+from .keyed import GRAM, join_by_hot_keys, pieces
 
 
 SECURITY_TEXT = "Finding '%s' falls under %s (%s)."
@@ -26,33 +27,48 @@ def classify(findings: DataFrame) -> DataFrame:
     return findings.withColumn("resolved_type", finding_type())
 
 
+def _rules_of(rids: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(_rid, prio, finding_type, desc_needles)`` of all rules that a rule id meets, found by index.
+
+    Exact rules meet by the whole id, prefixes by the id's beginnings of the lengths that occur, and contained needles
+    by their first piece of up to GRAM letters.
+    """
+    told = ("prio", "finding_type", "desc_needles")
+    exact = rids.join(rules.where("kind = 'exact'").select(F.col("needle").alias("_rid"), *told), "_rid")
+    prefixes = rules.where("kind = 'prefix'")
+    lengths = prefixes.agg(F.array_sort(F.collect_set(F.length("needle")))).scalar()
+    begins = F.array_distinct(F.transform(F.col("_lengths"), lambda n: F.left(F.col("_rid"), n)))
+    begun = rids.withColumn("_lengths", lengths).select("_rid", F.explode(begins).alias("needle")).join(prefixes.select("needle", *told), "needle")
+    inner = rules.where("kind = 'contains'").withColumn("_piece", F.left("needle", F.lit(GRAM)))
+    held = rids.select("_rid", F.explode(F.concat(F.array(F.lit("")), pieces("_rid"))).alias("_piece")).join(inner, "_piece")
+    held = held.where(F.col("_rid").contains(F.col("needle")))
+    found = exact.select("_rid", *told).unionByName(begun.select("_rid", *told))
+    # Only a prefix may ask for words of the description.
+    return found.unionByName(held.select("_rid", "prio", "finding_type", F.lit(None).cast(rules.schema["desc_needles"].dataType).alias("desc_needles")))
+
+
 def classify_by_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """``classify`` with the rules as a table ``(prio, finding_type, kind, needle, desc_needles)``.
 
-    The smallest ``prio`` that matches wins.  The rules are looked through inside each finding's row, so no finding
-    is shuffled, however often its rule id occurs.
+    The smallest ``prio`` that matches wins.  Rules are looked up once per rule id, not per finding, and by index, so
+    neither many rules nor many findings of one rule cost more than their number; what the ids lead to is joined back
+    with the facts of frequent ids broadcast.  Rules that ask for words of the description are tried on each finding
+    of an id they meet, if nothing of smaller ``prio`` does.
     """
     rid = F.expr(rule_text("rule_id"))
     desc = F.when(rid.startswith("osv_"), F.lower(F.coalesce("description", F.lit("")))).otherwise("")
     keyed = findings.withColumns({"_rid": rid, "_desc": desc})
-    # The rules travel as one array, a scalar subquery: no pairs of findings and rules are formed.
-    columns = ("prio", "finding_type", "kind", "needle", "desc_needles")
-    packed = rules.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
-
-    def matches(rule: Column) -> Column:
-        by_prefix = (rule["kind"] == "prefix") & F.col("_rid").startswith(rule["needle"]) & (
-            (F.size(rule["desc_needles"]) == 0)
-            | F.exists(rule["desc_needles"], lambda w: F.col("_desc").contains(w))
-        )
-        return (
-            ((rule["kind"] == "exact") & (F.col("_rid") == rule["needle"]))
-            | ((rule["kind"] == "contains") & F.col("_rid").contains(rule["needle"]))
-            | by_prefix
-        )
-
-    found = F.get(F.filter("_rules", matches), F.lit(0))["finding_type"]
-    resolved = F.coalesce(filled(F.col("finding_type")), found, F.lit(controls.DEFAULT_TYPE))
-    return keyed.withColumn("_rules", packed).withColumn("resolved_type", resolved).drop("_rid", "_desc", "_rules")
+    plain_rules = rules.withColumn("desc_needles", F.when((F.col("kind") == "prefix") & (F.size("desc_needles") > 0), F.col("desc_needles")))
+    met = _rules_of(keyed.select("_rid").distinct(), plain_rules)
+    asks = F.col("desc_needles").isNotNull()
+    facts = met.groupBy("_rid").agg(
+        F.min(F.when(~asks, F.struct("prio", "finding_type"))).alias("_sure"),
+        F.array_sort(F.collect_set(F.when(asks, F.struct("prio", "finding_type", "desc_needles")))).alias("_asking"),
+    ).withColumn("_asking", F.filter("_asking", lambda r: F.col("_sure").isNull() | (r["prio"] < F.col("_sure.prio"))))
+    joined = join_by_hot_keys(keyed, facts, "_rid")
+    told = F.get(F.filter("_asking", lambda r: F.exists(r["desc_needles"], lambda w: F.col("_desc").contains(w))), F.lit(0))["finding_type"]
+    resolved = F.coalesce(filled(F.col("finding_type")), told, F.col("_sure.finding_type"), F.lit(controls.DEFAULT_TYPE))
+    return joined.withColumn("resolved_type", resolved).select(*findings.columns, "resolved_type")
 
 
 def preset_cve_types(findings: DataFrame) -> DataFrame:
@@ -238,7 +254,7 @@ def attach_regulation(mapped: DataFrame, chunks: DataFrame, max_chars: int | Non
 
 
 def attach_explanations(mapped: DataFrame, written: DataFrame, require_explanation: bool = False) -> DataFrame:
-    """Written explanations ``(rule_id, framework, explanation)`` joined back by rule id.
+    """Written explanations ``(rule_id, framework, explanation)`` joined back by rule id, of which one may hold any share.
 
     Rows without one keep the template text, or are dropped when
     ``require_explanation`` is set.
@@ -248,7 +264,7 @@ def attach_explanations(mapped: DataFrame, written: DataFrame, require_explanati
         .groupBy("rule_id", "framework")
         .agg(F.max("explanation").alias("_text"))
     )
-    joined = mapped.join(texts, ["rule_id", "framework"], "inner" if require_explanation else "left")
+    joined = join_by_hot_keys(mapped, texts, ["rule_id", "framework"], "inner" if require_explanation else "left")
     return joined.withColumn("explanation", F.coalesce("_text", "explanation")).drop("_text")
 
 

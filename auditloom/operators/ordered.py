@@ -73,13 +73,32 @@ def top_per_key(df: DataFrame, keys, order, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _running(df: DataFrame, block, order: list) -> DataFrame:
+    """``pos``: number of the row in its repository, from 0, blocks in their order and rows in theirs.
+
+    A block is ranked by itself; in front of it count the rows of the blocks before, of which each is one small row.
+    """
+    keyed = df.withColumn("_block", F.struct("repo_id", *block))
+    sizes = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_block.repo_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order)).cast("bigint") - 1
+    placed = keyed.withColumn("_place", inside).join(starts, "_block")
+    return placed.withColumn("pos", F.col("_before") + F.col("_place")).drop("_block", "_before", "_place")
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Rows with ``pos``: their number within the repository, by the given columns.
 
-    For findings that have no number of their own; of a repository there are few.
+    For findings that have no number of their own.  The first column, such as the file, cuts a repository into blocks,
+    so a repository may hold any share of the rows; the input is read twice.
     """
-    place = Window.partitionBy("repo_id").orderBy(*order) if order else Window.partitionBy("repo_id").orderBy("repo_id")
-    return df.withColumn("pos", F.row_number().over(place).cast("bigint") - 1)
+    block = [F.col(order[0]).alias("b")] if order else [F.lit(0).alias("b")]
+    return _running(df, block, list(order) or ["repo_id"])
+
+
+#: Positions of a source that make a block.
+BLOCK_POSITIONS = 100_000
 
 
 def in_turn(*parts: DataFrame) -> DataFrame:
@@ -88,5 +107,5 @@ def in_turn(*parts: DataFrame) -> DataFrame:
     for i, part in enumerate(parts):
         part = part.withColumn("_part", F.lit(i))
         merged = part if merged is None else merged.unionByName(part)
-    place = Window.partitionBy("repo_id").orderBy("_part", "pos")
-    return merged.withColumn("pos", F.row_number().over(place).cast("bigint") - 1).drop("_part")
+    block = [F.col("_part").alias("p"), F.floor(F.col("pos") / BLOCK_POSITIONS).alias("b")]
+    return _running(merged, block, ["pos"]).drop("_part")
