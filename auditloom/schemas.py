@@ -19,5 +19,7 @@ WORKFLOW_STEP = (
 )
 
 # A report, registry answer or settings export is one JSON text per row.  Items of
-# a report get ``pos`` = report number * REPORT_STRIDE + index inside the report.
-REPORT_STRIDE = 1 << 24
+# a report get ``pos`` = report number * REPORT_STRIDE + index inside the report.  A text
+# of Spark has fewer than 2**31 bytes and an item with the comma behind it three at least,
+# so no report runs into the next; a report number beyond 2**33 is an overflow error.
+REPORT_STRIDE = 1 << 30

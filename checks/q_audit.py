@@ -10,7 +10,7 @@ from auditloom.functions.severity import SEVERITIES
 from auditloom.operators import content, mapping, merge, scoring
 from auditloom.plans import audit
 from auditloom.session import new_folder
-from auditloom.sources import reports, store
+from auditloom.sources import report_files as sink, reports, store
 
 from . import oracle as O
 from .derived import dealt, view
@@ -136,12 +136,18 @@ def map_controls(spark, sf):
     )
 
 
-@check("pick_control", O.with_(*MAPPED)
-       + """ SELECT repo_id, src_ord, pos, framework, control_id, control_name FROM m WHERE framework IN ('soc2', 'iso27001')""")
+@check("pick_control", O.with_(*TYPED, f"""
+    k AS {O.as_values_sql("control_map")},
+    p AS (SELECT finding_type, framework, CASE WHEN framework IN ('gdpr', 'dpdp') THEN arg_min(control_id, ord) ELSE arg_max(control_id, ord) END AS control_id,
+                 CASE WHEN framework IN ('gdpr', 'dpdp') THEN arg_min(control_name, ord) ELSE arg_max(control_name, ord) END AS control_name
+          FROM k WHERE NOT (framework IN ('gdpr', 'dpdp') AND finding_type IN {O.in_list(controls.PRIVACY_EXCLUDED_TYPES)}) GROUP BY 1, 2)""") + """
+    SELECT c.repo_id, c.src_ord, c.pos, p.framework, p.control_id, p.control_name FROM c JOIN p ON p.finding_type =
+    CASE WHEN c.resolved_type IN (SELECT finding_type FROM k) THEN c.resolved_type ELSE 'dependency_cve_network' END""")
 def pick_control(spark, sf):
+    """The control of each finding per framework: the last for SOC 2 and ISO 27001, the first for GDPR and DPDP."""
     chosen = mapping.pick_control(as_df(spark, "control_map")).withColumnRenamed("finding_type", "_known")
     found = typed_findings(spark, sf).withColumn("_known", fc.known_type(F.col("resolved_type")))
-    return found.join(F.broadcast(chosen), "_known").where("framework in ('soc2', 'iso27001')").select(
+    return found.join(F.broadcast(chosen), "_known").select(
         "repo_id", "src_ord", "pos", "framework", "control_id", "control_name"
     )
 
@@ -290,6 +296,18 @@ def quarantine(spark, sf):
 
 # --------------------------------------------------------------------------- report sink
 
+@check("report_files", O.with_(*REPORT) + """ SELECT repo_id, overall_score, score_gdpr AS gdpr, high FROM s_report""")
+def report_files(spark, sf):
+    """Reports written as one document per repository, twice, and read back."""
+    path = new_folder(spark, "report-files")
+    rows = audit.report_document(audit.audit_report(all_findings(spark, sf), all_repos(spark, sf)))
+    sink.write_report_files(rows.limit(3), path)
+    sink.write_report_files(rows, path)
+    schema = "overall_score int, framework_scores map<string,int>, severity_breakdown map<string,bigint>"
+    read = sink.read_report_files(spark, path).select("repo_id", F.from_json("report", schema).alias("r"))
+    return read.select("repo_id", "r.overall_score", F.col("r.framework_scores.gdpr").alias("gdpr"), F.col("r.severity_breakdown.high").alias("high"))
+
+
 @check("report_json", O.with_(*REPORT) + f""" SELECT repo_id, overall_score, {O.SUMMARY} AS executive_summary,
     score_soc2 AS soc2, score_dpdp AS dpdp, high, controls_iso27001 AS iso_controls, findings_gdpr AS gdpr_findings FROM s_report""")
 def report_json(spark, sf):

@@ -33,10 +33,10 @@ def _sast_reports(spark, sf):
 
 @check("sast_from_json", f"""
     WITH e AS (SELECT *, {O.sql_list(LEVELS)}[event_id % {len(LEVELS)} + 1] AS level FROM events)
-    SELECT CAST(user_id AS STRING) AS repo_id, event_id * 16777216 AS pos, 'semgrep' AS tool,
+    SELECT CAST(user_id AS STRING) AS repo_id, event_id * 1073741824 AS pos, 'semgrep' AS tool,
            CASE lower(level) WHEN 'error' THEN 'critical' WHEN 'warning' THEN 'high' WHEN 'inventory' THEN 'low' WHEN 'info' THEN 'low' ELSE 'medium' END AS severity,
            'rule.' || event_type AS title, props AS description, 'src/' || event_type AS file_path, 'rule.' || event_type AS rule_id FROM e UNION ALL
-    SELECT CAST(user_id AS STRING), event_id * 16777216 + 1, 'semgrep', 'high', 'rule.bare', '', 'src/' || event_type, 'rule.bare' FROM e""")
+    SELECT CAST(user_id AS STRING), event_id * 1073741824 + 1, 'semgrep', 'high', 'rule.bare', '', 'src/' || event_type, 'rule.bare' FROM e""")
 def sast_from_json(spark, sf):
     return reports.sast_findings(_sast_reports(spark, sf))
 
@@ -89,8 +89,8 @@ IAC_CHECKS = f"""
     page AS (SELECT split_part(url, '/', 3) AS repo_id, page_id, page_id % 6 AS shape, c.*,
              CASE WHEN page_id % 2 = 0 THEN '/p' || page_id || '.tf' ELSE '/other' END AS file_path
              FROM pages p JOIN chk c ON p.page_id % {len(CHECKS)} = c.i),
-    got AS (SELECT *, page_id * 16777216 AS pos FROM page WHERE shape IN (0, 1, 2, 3)
-            UNION ALL SELECT *, page_id * 16777216 + 1 FROM page WHERE shape = 2)"""
+    got AS (SELECT *, page_id * 1073741824 AS pos FROM page WHERE shape IN (0, 1, 2, 3)
+            UNION ALL SELECT *, page_id * 1073741824 + 1 FROM page WHERE shape = 2)"""
 IAC_COLUMNS = ["repo_id", "pos", "severity", "title", "description", "file_path", "rule_id", "finding_type"]
 
 
@@ -144,11 +144,11 @@ def _text(*parts) -> F.Column:
     return F.concat(*[F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in parts])
 
 
-def _flat(path: str, rows) -> str:
+def _flat(path: str, rows, which: str = "true") -> str:
     """The fields of the definition files, stated directly: (k, field_type, line, comment) per field."""
     selects = [
         f"SELECT CAST(user_id AS STRING) AS repo_id, 'f' || event_id || '{path}' AS source_file, {model} AS model, "
-        f"{_field(k)} AS name, {kind} AS field_type, {line} AS line_number, {comment} AS comment FROM events"
+        f"{_field(k)} AS name, {kind} AS field_type, {line} AS line_number, {comment} AS comment FROM events WHERE {which}"
         for model, k, kind, line, comment in rows
     ]
     return " UNION ALL ".join(selects)
@@ -158,7 +158,12 @@ OUT = ["repo_id", "source_file", "model", "name", "field_type", "line_number", "
 MODEL = "'M' || event_id"
 
 
+KINDS: list[tuple] = []
+
+
 def _register(kind: str, extract, path: str, text, rows):
+    KINDS.append(("sql_migration" if kind == "sql_ddl" else kind, path, text, rows))
+
     @check(f"schema_fields_{kind}", _flat(path, rows))
     def job(spark, sf):
         files = _parts(spark, sf, path).select("repo_id", "path", text().alias("content"))
@@ -213,20 +218,16 @@ def schema_models_openapi(spark, sf):
     return sfiles.models_openapi(files).select("repo_id", "source_file", "model")
 
 
-@check("schema_fields", "SELECT parser, count(*) AS n FROM (SELECT CASE event_id % 2 WHEN 0 THEN 'prisma' ELSE 'graphql' END AS parser, "
-       "unnest([1, 2, 3]) AS k FROM events) GROUP BY 1")
+@check("schema_fields", " UNION ALL ".join(
+    f"SELECT * FROM ({_flat(path, rows, f'event_id % {len(KINDS)} = {i}')})" for i, (_, path, _, rows) in enumerate(KINDS)))
 def schema_fields(spark, sf):
-    """The extractor registry: files of two kinds, each read by its own extractor."""
-    rows = _parts(spark, sf, "")
-    prisma = F.col("event_id") % 2 == 0
-    text = F.when(prisma, _text("model ", "{m}", " {\n a ", "{t1}", "\n b ", "{t5}", "\n c ", "{t7}", "\n}")).otherwise(
-        _text("type ", "{m}", " {\n a: ", "{t1}", "\n b: ", "{t5}", "\n c: ", "{t7}", "\n}"))
-    files = rows.select(
-        "repo_id", F.when(prisma, "schema.prisma").otherwise("schema.graphql").alias("path"),
-        F.when(prisma, "prisma").otherwise("graphql").alias("parser"), text.alias("content"),
-    )
-    parser = F.regexp_extract("source_file", r"\.(\w+)$", 1).alias("parser")
-    return sfiles.schema_fields(files).groupBy(parser).agg(F.count("*").alias("n"))
+    """The extractor registry: files of six kinds in one table, each read by its own extractor."""
+    files = None
+    for i, (parser, path, text, _) in enumerate(KINDS):
+        part = _parts(spark, sf, path).where(F.col("event_id") % len(KINDS) == i)
+        part = part.select("repo_id", "path", F.lit(parser).alias("parser"), text().alias("content"))
+        files = part if files is None else files.unionByName(part)
+    return sfiles.schema_fields(files).select(*OUT)
 
 
 # --------------------------------------------------------------------------- workflow files
