@@ -355,3 +355,68 @@ def test_stages_take_effect(spark, sf_dir):
     assert len(seen["tokens"]) == len(seen["mixing"])
     again = corpus_pipeline.run(spark, folder)
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in again.collect()) == sorted((r["doc_id"], r["ids_sha256"]) for r in seen["tokens"])
+
+
+# --------------------------------------------------------------------------- language model: pairs of words
+
+def test_model_learns_pairs_of_ordinary_words(spark):
+    """Every second word follows from the one before: half of the tokens carry log2(400) bits, the others none."""
+    rng = random.Random(31)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(800)]
+    after = dict(zip(names[:400], rng.sample(names[400:], 400)))
+    rows = []
+    for i in range(1500):
+        first = [names[rng.randrange(400)] for _ in range(100)]
+        rows.append((i, " ".join(f"{w} {after[w]}" for w in first), "s"))
+    made = max_entropy.score_texts(table(spark, rows)).where("held_out").agg(
+        F.sum("score"), F.sum("base_score"), F.sum("n_tokens")
+    ).first()
+    bits, base = (-x / made[2] * np.log2(10) for x in made[:2])
+    assert base > 9 and bits < np.log2(400) / 2 + 1, (bits, base)
+
+
+def test_pair_weights_meet_the_counts():
+    """Within a group the shares of the heavy words come near their counts, and all shares sum to one."""
+    rng = np.random.default_rng(5)
+    group = np.repeat(np.arange(50), rng.integers(1, 9, 50))
+    place = np.concatenate([np.arange(k) for k in np.bincount(group)])
+    share = rng.dirichlet(np.ones(12), 50)[group, place] * 0.9 + 1e-4
+    n = rng.integers(2, 400, len(group)).astype(float)
+    total = np.bincount(group, n)[group] * 1.5
+    weight, log_sum = max_entropy.pair_weights(group, n, total, share)
+    p = share * np.exp(weight - log_sum)
+    assert np.abs(p * total - n).max() < 12
+    held = np.bincount(group, share)
+    left = (1 - held) * np.exp(-log_sum[np.unique(group, return_index=True)[1]])
+    assert np.allclose(np.bincount(group, p) + left, 1)
+
+
+def test_score_by_brute_force(spark):
+    """The score of each text from the model's parts, looked up word by word."""
+    rng = random.Random(33)
+    rows = [(i, " ".join(rng.choice(["a b", "c d e", f"w{rng.randrange(40)}x"]) for _ in range(rng.randrange(30))), "s") for i in range(200)]
+    caught = {}
+    plain = max_entropy._score
+    try:
+        max_entropy._score = lambda *parts: caught.setdefault("parts", parts) and plain(*parts)
+        got = {r["doc_id"]: r["score"] for r in max_entropy.score_texts(table(spark, rows), rounds=10).collect()}
+    finally:
+        max_entropy._score = plain
+    lexicon, logs, spread, pairs = caught["parts"]
+    counts = collections.Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split())
+    weights = dict(zip(pairs.pair.tolist(), pairs.weight.tolist()))
+    sums = dict(zip(pairs.group.tolist(), pairs.log_sum.tolist()))
+    assert weights
+    for i, text, _ in rows[:60]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        word, ending, doc = max_entropy.tokens(data, np.array([0, len(data)]))
+        cls, context = max_entropy.classes_and_contexts(word, ending, doc, lexicon.look_up(word)[1])
+        want, spoken = 0.0, [*text.split(), None]
+        for j, said in enumerate(spoken):
+            want += logs[context[j], cls[j]]
+            if cls[j] > max_entropy.OWN_CLASS:
+                before = word[j - 1 : j] if j else np.array([max_entropy.END])
+                want += np.log10(counts[said] + 0.1) - spread[cls[j]]
+                want += (weights.get(int(max_entropy.pair_hashes(before, word[j : j + 1])[0]), 0.0)
+                         - sums.get(int(max_entropy.pair_hashes(before, cls[j : j + 1])[0]), 0.0)) / np.log(10)
+        assert got[i] == pytest.approx(want, abs=1e-6)
