@@ -419,4 +419,4 @@ def test_score_by_brute_force(spark):
                 want += np.log10(counts[said] + 0.1) - spread[cls[j]]
                 want += (weights.get(int(max_entropy.pair_hashes(before, word[j : j + 1])[0]), 0.0)
                          - sums.get(int(max_entropy.pair_hashes(before, cls[j : j + 1])[0]), 0.0)) / np.log(10)
-        assert got[i] == pytest.approx(want, abs=1e-6)
+        assert got[i] == pytest.approx(want, abs=1e-4)  # class probabilities are 4-byte floats
