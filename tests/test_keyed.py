@@ -100,3 +100,26 @@ def test_names_in_texts(spark):
     got = {(r["repo_id"], r["name"]) for r in packages._named_in_text(components, told).collect()}
     want = {(f"r{i}", n) for i in range(4) for n in names if any(r == f"r{i}" and n.lower() in f"{d}\n{t or ''}".lower() for r, d, t in rows)}
     assert got == want
+
+
+def test_rolled_up_rows_equal_a_search(monkeypatch):
+    """What a task keeps of each package, cut down again and again, gives what the whole gives."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["r", "r", None]), rng.choice(["hot", "hot", None, f"p{rng.randrange(6)}"]), i, rng.choice([None, f"CVE-{i}"]),
+             rng.choice([None, "", f"text {i}"]), rng.choice([None, 0, 1, 4])) for i in rng.sample(range(10_000), 900)]
+    schema = pa.schema([("repo_id", pa.string()), ("package", pa.string()), ("pos", pa.int64()), ("id", pa.string()), ("summary", pa.string()),
+                        ("n", pa.int64()), ("rank", pa.int32()), ("low", pa.int64())])
+    full = [(r, p, pos, i, s, int(i is not None), rank, pos) for r, p, pos, i, s, rank in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*full[at : at + 40]), schema.types)], schema=schema) for at in range(0, 900, 40)]
+    for held in (60, 10_000):
+        monkeypatch.setattr(packages, "HELD_ROWS", held)
+        kept = [tuple(r.values()) for b in packages._shown_rows(iter(batches)) for r in b.to_pylist()]
+        assert len(kept) < 300
+        for key in {r[:2] for r in full}:
+            own, mine = sorted((r for r in full if r[:2] == key), key=lambda r: r[2]), sorted((r for r in kept if r[:2] == key), key=lambda r: r[2])
+            assert [r[3] for r in mine if r[3] is not None][:3] == [r[3] for r in own if r[3] is not None][:3]
+            assert [r[4] for r in mine if r[4]][:2] == [r[4] for r in own if r[4]][:2]
+            assert (sum(r[5] for r in mine), max(r[6] for r in mine), min(r[7] for r in mine)) == (
+                sum(r[5] for r in own), max(-1 if r[6] is None else r[6] for r in own), own[0][2])
