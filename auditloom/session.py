@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of all scratch tables of this application."""
+    return f"{shared_dir(spark)}/auditloom/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder name below the shared folder."""
-    return f"{shared_dir(spark)}/auditloom/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder name below the application's scratch folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Deletes all scratch tables of this application; whether there were any.
+
+    For the end of a run: results that still read from scratch tables are lost with them.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -116,7 +116,7 @@ def test_rolled_up_rows_equal_a_search(monkeypatch):
     for held in (60, 10_000):
         monkeypatch.setattr(packages, "HELD_ROWS", held)
         kept = [tuple(r.values()) for b in packages._shown_rows(iter(batches)) for r in b.to_pylist()]
-        assert len(kept) < 300
+        assert len(kept) < (300 if held > 900 else 500)
         for key in {r[:2] for r in full}:
             own, mine = sorted((r for r in full if r[:2] == key), key=lambda r: r[2]), sorted((r for r in kept if r[:2] == key), key=lambda r: r[2])
             assert [r[3] for r in mine if r[3] is not None][:3] == [r[3] for r in own if r[3] is not None][:3]

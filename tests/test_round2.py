@@ -156,12 +156,13 @@ def test_session_without_a_shared_folder(tmp_path):
 
     code = (
         "from pyspark.sql import SparkSession\n"
-        "from auditloom.session import new_folder, shared_dir\n"
+        "from auditloom.session import new_folder, remove_scratch, shared_dir\n"
         "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
         "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
         "path = new_folder(spark, 'x')\n"
         "spark.range(3).write.parquet(path)\n"
         "assert spark.read.parquet(path).count() == 3 and shared_dir(spark) == shared_dir(spark)\n"
+        "assert remove_scratch(spark) and not remove_scratch(spark)\n"
         "print('stored')\n"
     )
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
