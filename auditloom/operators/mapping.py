@@ -101,10 +101,11 @@ def map_controls(findings: DataFrame, catalogue: DataFrame | None = None) -> Dat
     """All controls of each finding's type, in catalogue order.
 
     Unknown types take the controls of the default type; excluded types take no
-    privacy control.
+    privacy control.  The own catalogue has fewer than 200 rows and is broadcast;
+    how a caller's is joined follows its size.
     """
-    catalogue = catalogue if catalogue is not None else as_df(findings.sparkSession, "control_map")
-    edges = F.broadcast(catalogue.withColumnRenamed("finding_type", "_known"))
+    edges = F.broadcast(as_df(findings.sparkSession, "control_map")) if catalogue is None else catalogue
+    edges = edges.withColumnRenamed("finding_type", "_known")
     return (
         findings.withColumn("_known", known_type(F.col("resolved_type")))
         .join(edges, "_known")
