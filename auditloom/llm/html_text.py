@@ -53,11 +53,13 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 
 #: Words of class names and ids that mark other things than main text.
 OTHER = frozenset(
-    "ad ads advert adverts advertisement advertising advertisment banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus dropdown footer gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices "
-    "overlay pager paginator pagination paywall popover popup promo promoted promotion recommendations recommended related reply "
-    "replies respond responses share sharing sidebar sidebars signup skip skiplink social sponsor sponsored sponsors subscribe "
-    "subscription teaser toolbar widget widgets".split()
+    "ad adbox ads adsbygoogle adslot adunit advert advertisement advertising adverts banner breadcrumb breadcrumbs comment commentbox "
+    "commentform commentlist comments consent cookie cookiebanner cookiebar cookies copyright disqus dropdown footer gdpr login "
+    "mainnav masthead menu menubar modal nav navbar navi navigation navlinks newsletter notice notices overlay pager pagination "
+    "paginator paywall popover popup promo promoted promotion recommendations recommended related replies reply respond responses "
+    "share sharing sidebar sidebars sidenav signup sitefooter siteheader skip skiplink social sponsor sponsored sponsors subnav "
+    "subscribe subscription teaser toolbar topnav widget widgets".split()
+)
 )
 
 #: The same, but only outside of an article.
@@ -67,7 +69,7 @@ OUTER = frozenset("header foot head top bottom topbar".split())
 HAS = frozenset("has no with without is js".split())
 
 #: Readers' words: an article inside is a comment, not the article.
-READERS = frozenset("comment comments disqus replies reply respond responses".split())
+READERS = frozenset("comment commentbox commentform commentlist comments disqus replies reply respond responses".split())
 
 STOP_WORDS = frozenset(
     # English
