@@ -60,7 +60,6 @@ OTHER = frozenset(
     "share sharing sidebar sidebars sidenav signup sitefooter siteheader skip skiplink social sponsor sponsored sponsors subnav "
     "subscribe subscription teaser toolbar topnav widget widgets".split()
 )
-)
 
 #: The same, but only outside of an article.
 OUTER = frozenset("header foot head top bottom topbar".split())
