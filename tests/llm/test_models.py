@@ -402,11 +402,12 @@ def test_score_by_brute_force(spark):
         got = {r["doc_id"]: r["score"] for r in max_entropy.score_texts(table(spark, rows), rounds=10).collect()}
     finally:
         max_entropy._score = plain
-    lexicon, logs, spread, pairs = caught["parts"]
+    held, weights, spread, pairs = caught["parts"]
+    lexicon, logs = held.value, max_entropy.class_table(weights)
     counts = collections.Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split())
-    weights = dict(zip(pairs.pair.tolist(), pairs.weight.tolist()))
+    tilts = dict(zip(pairs.pair.tolist(), pairs.weight.tolist()))
     sums = dict(zip(pairs.group.tolist(), pairs.log_sum.tolist()))
-    assert weights
+    assert tilts
     for i, text, _ in rows[:60]:
         data = np.frombuffer(text.encode(), np.uint8)
         word, ending, doc = max_entropy.tokens(data, np.array([0, len(data)]))
@@ -417,6 +418,6 @@ def test_score_by_brute_force(spark):
             if cls[j] > max_entropy.OWN_CLASS:
                 before = word[j - 1 : j] if j else np.array([max_entropy.END])
                 want += np.log10(counts[said] + 0.1) - spread[cls[j]]
-                want += (weights.get(int(max_entropy.pair_hashes(before, word[j : j + 1])[0]), 0.0)
+                want += (tilts.get(int(max_entropy.pair_hashes(before, word[j : j + 1])[0]), 0.0)
                          - sums.get(int(max_entropy.pair_hashes(before, cls[j : j + 1])[0]), 0.0)) / np.log(10)
         assert got[i] == pytest.approx(want, abs=1e-4)  # class probabilities are 4-byte floats
