@@ -12,6 +12,8 @@ SCHEMA = "repo_id string, path string, size bigint, modified timestamp, place st
 
 #: Folders that are listed to plan a scan; what lies below is listed by the tasks.
 PLANNED_FOLDERS = 1000
+#: Tasks of a scan, whatever the number of folders.
+MOST_TASKS = 128
 
 
 def opened(root: str):
@@ -22,12 +24,11 @@ def opened(root: str):
     return store, base.rstrip("/")
 
 
-class Folder(InputPartition):
-    """A folder of a repository; ``deep``: with all below it, else only the files right in it."""
+class Folders(InputPartition):
+    """Folders ``(repo_id, top, path, deep)`` of repositories; ``deep``: with all below it, else only the files right in it."""
 
-    def __init__(self, repo_id: str, top: str, path: str, deep: bool, since_ms: int = -1, until_ms: int = -1):
-        self.repo_id, self.top, self.path, self.deep = repo_id, top, path, deep
-        self.since_ms, self.until_ms = since_ms, until_ms
+    def __init__(self, folders: list[tuple], since_ms: int = -1, until_ms: int = -1):
+        self.folders, self.since_ms, self.until_ms = folders, since_ms, until_ms
 
 
 class _Walk:
@@ -39,8 +40,11 @@ class _Walk:
         self.repos = frozenset(filter(None, options.get("repos", "").split(",")))
         self.planned = int(options.get("plannedFolders", PLANNED_FOLDERS))
 
-    def folders(self, since_ms: int = -1, until_ms: int = -1) -> list[Folder]:
-        """Folders are opened breadth-first until enough are known, so the parts of one huge repository spread, too."""
+    def shares(self, since_ms: int = -1, until_ms: int = -1) -> list[Folders]:
+        """Folders are opened breadth-first until enough are known, so the parts of one huge repository spread, too.
+
+        They are dealt in turn, so a folder with any number of folders in it makes no more tasks than others.
+        """
         from collections import deque
 
         from pyarrow import fs
@@ -50,20 +54,25 @@ class _Walk:
             (e.base_name, e.path, e.path) for e in store.get_file_info(fs.FileSelector(base))
             if e.type == fs.FileType.Directory and (not self.repos or e.base_name in self.repos)
         )
-        shallow: list[Folder] = []
+        shallow: list[tuple] = []
         while wanted and len(shallow) < self.planned and len(shallow) + len(wanted) < self.planned:
             repo_id, top, path = wanted.popleft()
-            shallow.append(Folder(repo_id, top, path, False, since_ms, until_ms))
+            shallow.append((repo_id, top, path, False))
             for entry in store.get_file_info(fs.FileSelector(path)):
                 if entry.type == fs.FileType.Directory and entry.base_name not in self.skipped:
                     wanted.append((repo_id, top, entry.path))
-        return shallow + [Folder(*w, True, since_ms, until_ms) for w in wanted]
+        known = shallow + [(*w, True) for w in wanted]
+        return [Folders(known[i::MOST_TASKS], since_ms, until_ms) for i in range(min(len(known), MOST_TASKS))] or [Folders([])]
+
+    def rows(self, part: Folders) -> Iterator[tuple]:
+        store, _ = opened(self.root)
+        for folder in part.folders:
+            yield from self._files(store, part, *folder)
 
-    def rows(self, part: Folder) -> Iterator[tuple]:
+    def _files(self, store, part: Folders, repo_id: str, top: str, path: str, deep: bool) -> Iterator[tuple]:
         from pyarrow import fs
 
-        store, _ = opened(self.root)
-        left = [part.path]
+        left = [path]
         while left:
             try:
                 entries = store.get_file_info(fs.FileSelector(left.pop()))
@@ -71,20 +80,20 @@ class _Walk:
                 continue  # removed since it was planned
             for entry in entries:
                 if entry.type == fs.FileType.Directory:
-                    if part.deep and entry.base_name not in self.skipped:
+                    if deep and entry.base_name not in self.skipped:
                         left.append(entry.path)
                     continue
                 changed = int(entry.mtime_ns // 1_000_000) if entry.mtime_ns is not None else 0
                 if part.until_ms < 0 or part.since_ms <= changed < part.until_ms:
-                    yield part.repo_id, entry.path[len(part.top) + 1 :], entry.size, entry.mtime, entry.path
+                    yield repo_id, entry.path[len(top) + 1 :], entry.size, entry.mtime, entry.path
 
 
 class RepoFilesReader(_Walk, DataSourceReader):
-    def partitions(self) -> list[Folder]:
-        return self.folders() or [Folder("", "", "", False)]
+    def partitions(self) -> list[Folders]:
+        return self.shares()
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        return self.rows(partition) if partition.path else iter(())
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        return self.rows(partition)
 
 
 class RepoFilesStream(_Walk, DataSourceStreamReader):
@@ -101,11 +110,11 @@ class RepoFilesStream(_Walk, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"until_ms": int(time.time() * 1000) - self.settled_ms}
 
-    def partitions(self, start: dict, end: dict) -> list[Folder]:
-        return self.folders(start["until_ms"], end["until_ms"]) or [Folder("", "", "", False)]
+    def partitions(self, start: dict, end: dict) -> list[Folders]:
+        return self.shares(start["until_ms"], end["until_ms"])
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        return self.rows(partition) if partition.path else iter(())
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        return self.rows(partition)
 
     def commit(self, end: dict) -> None:
         pass

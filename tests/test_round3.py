@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from auditloom.operators import keyed
+from auditloom.sources import repo_files
+from checks import q_sources
 
 
 def test_names_that_share_all_pieces(spark):
@@ -21,3 +23,25 @@ def test_names_that_share_all_pieces(spark):
     got = [tuple(r) for r in keyed.names_in_texts(df, asked).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1500
     assert keyed.names_in_texts(df.limit(0), asked).count() == 0 and keyed.names_in_texts(df, asked.limit(0)).count() == 0
+
+
+def test_many_folders_make_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(repo_files, "MOST_TASKS", 8)
+    for i in range(60):
+        place = tmp_path / "big" / f"page={i}"
+        place.mkdir(parents=True)
+        (place / "f").write_text("x" * i)
+    reader = repo_files.RepoFilesReader({"path": str(tmp_path)})
+    shares = reader.partitions()
+    assert len(shares) == 8
+    found = [row for s in shares for row in reader.read(s)]
+    assert sorted((r[0], r[1], r[2]) for r in found) == sorted(("big", f"page={i}/f", i) for i in range(60))
+
+
+def test_written_pages_are_listed(spark, tmp_path):
+    rows = [(i, f"http://u{i}/", "é" * i) for i in range(20)] + [(25, "u", "twice"), (25, "u", "twice"), (30, "u", None), (None, "u", "gone")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["folder"], r["size"]) for r in q_sources.scan_files(spark, str(tmp_path)).collect())
+    names = {i: n for i, n in enumerate(q_sources.FOLDERS) if n not in ("node_modules", "dist")}
+    want = [(f"{names[i % 5]}/page={i}", 2 * i + 1) for i in range(20) if i % 5 in names] + [("src/page=25", 12), ("src/page=30", 1)]
+    assert got == sorted(want)
