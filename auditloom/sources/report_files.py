@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -12,6 +13,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from .repo_files import opened
 
 CURRENT = "_current"
+#: Folders a run's reports are dealt to, since many files in one folder are slow to list.
+BUCKETS = 256
+#: Bytes of reports that a reading task hands on at once.
+READ_BYTES = 1 << 22
 
 
 @dataclass
@@ -23,29 +28,27 @@ class ReportWriter(DataSourceWriter):
     """A run writes into a folder of its own, and one small file says which folder holds.
 
     A task that runs again writes the same files again.  Until the run is committed, readers see the one before; a run
-    that fails leaves nothing.
+    that fails leaves nothing: only the driver makes folders, so tasks that outlive the run have nowhere to write.
     """
 
     def __init__(self, root: str):
         self.root, self.run = root, f"run-{uuid.uuid4().hex}"
+        store, base = opened(root)
+        for bucket in _buckets():
+            store.create_dir(f"{base}/{self.run}/{bucket}", recursive=True)
 
     def write(self, iterator) -> Written:
         store, base = opened(self.root)
-        store.create_dir(f"{base}/{self.run}", recursive=True)
         n = 0
         for row in iterator:
-            # Many files in one folder are slow to list, so they are dealt by the repository's name.
             name = quote(row["repo_id"], safe="")
-            folder = f"{base}/{self.run}/{_bucket(row['repo_id'])}"
-            store.create_dir(folder, recursive=True)
-            with store.open_output_stream(f"{folder}/{name}.json") as out:
+            with store.open_output_stream(f"{base}/{self.run}/{_bucket(row['repo_id'])}/{name}.json") as out:
                 out.write(row["report"].encode())
             n += 1
         return Written(n)
 
     def commit(self, messages) -> None:
         store, base = opened(self.root)
-        store.create_dir(f"{base}/{self.run}", recursive=True)
         with store.open_output_stream(f"{base}/{CURRENT}.{self.run}") as out:
             out.write(self.run.encode())
         before = current_run(self.root)
@@ -57,14 +60,25 @@ class ReportWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, base = opened(self.root)
-        if store.get_file_info(f"{base}/{self.run}").type == fs.FileType.Directory:
-            store.delete_dir(f"{base}/{self.run}")
+        for left in range(9, -1, -1):
+            if store.get_file_info(f"{base}/{self.run}").type != fs.FileType.Directory:
+                return
+            try:
+                store.delete_dir(f"{base}/{self.run}")
+            except OSError:  # a task that is still running has put a file into a folder that was being emptied
+                if not left:
+                    raise
+                time.sleep(0.1)
+
+
+def _buckets() -> list[str]:
+    return [f"{i:02x}" for i in range(BUCKETS)]
 
 
 def _bucket(repo_id: str) -> str:
     from zlib import crc32
 
-    return f"{crc32(repo_id.encode()) % 256:02x}"
+    return f"{crc32(repo_id.encode()) % BUCKETS:02x}"
 
 
 class RepoReports(DataSource):
@@ -105,10 +119,33 @@ def write_report_files(reports: DataFrame, path: str) -> None:
 
 
 def read_report_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(repo_id, report)`` of the last committed run."""
+    """``(repo_id, report)`` of the last committed run.
+
+    A task lists a folder of the run and hands on its reports one after the other; the driver knows no file.
+    """
     run = current_run(path)
     if run is None:
         return spark.createDataFrame([], "repo_id string, report string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{path.rstrip('/')}/{run}")
-    text = F.decode("content", "UTF-8")
-    return files.select(F.get_json_object(text, "$.repo_id").alias("repo_id"), text.alias("report"))
+    store, base = opened(path)
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        names = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["report"])
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                held, size = [], 0
+                for file in store.get_file_info(fs.FileSelector(f"{base}/{run}/{bucket}", allow_not_found=True)):
+                    if not file.path.endswith(".json"):
+                        continue
+                    with store.open_input_stream(file.path) as source:
+                        held.append(source.read().decode())
+                    size += file.size
+                    if size > READ_BYTES:
+                        yield names(held)
+                        held, size = [], 0
+                yield names(held)
+
+    buckets = spark.createDataFrame([(b,) for b in _buckets()], "bucket string").repartition(BUCKETS // 4, "bucket")
+    return buckets.mapInArrow(read, "report string").select(F.get_json_object("report", "$.repo_id").alias("repo_id"), "report")

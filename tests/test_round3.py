@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditloom.operators import keyed
-from auditloom.sources import repo_files
+from auditloom.sources import repo_files, report_files
 from checks import q_sources
 
 
@@ -44,4 +45,22 @@ def test_written_pages_are_listed(spark, tmp_path):
     got = sorted((r["folder"], r["size"]) for r in q_sources.scan_files(spark, str(tmp_path)).collect())
     names = {i: n for i, n in enumerate(q_sources.FOLDERS) if n not in ("node_modules", "dist")}
     want = [(f"{names[i % 5]}/page={i}", 2 * i + 1) for i in range(20) if i % 5 in names] + [("src/page=25", 12), ("src/page=30", 1)]
+    want.append(("lib/page=__HIVE_DEFAULT_PARTITION__", 5))  # where Spark's writer put it
     assert got == sorted(want)
+
+
+def test_a_late_task_leaves_no_report(spark, tmp_path):
+    writer = report_files.ReportWriter(str(tmp_path))
+    writer.write(iter([{"repo_id": "a/b", "report": "{}"}]))
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([{"repo_id": "c", "report": "{}"}]))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_reports_are_read_by_few_tasks(spark, tmp_path):
+    many = spark.range(3000).select(F.concat(F.lit("r/"), "id").alias("repo_id"), "id")
+    report_files.write_report_files(many, str(tmp_path))
+    read = report_files.read_report_files(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 64
+    assert {r["repo_id"]: r["report"] for r in read.collect()} == {f"r/{i}": f'{{"repo_id":"r/{i}","id":{i}}}' for i in range(3000)}
