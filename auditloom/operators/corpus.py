@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordered import top_per_key
 
+#: Queries of a block that are compared with its chunks at once.
+QUERY_ROWS = 64
+
 
 def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list]], batch: int = 64) -> DataFrame:
     """Adds ``embedding`` to chunks ``(..., content)``.
@@ -42,7 +45,7 @@ def match_chunks(
     ``content`` and ``metadata`` are returned where the chunks have them.
 
     Blocks of queries meet blocks of chunks, cut inside each framework from its own counts: a task holds one block of
-    each, multiplies them as matrices and passes on only ``k`` rows per query.
+    each, multiplies QUERY_ROWS queries at once with the chunks and passes on only ``k`` rows per query.
     """
     vector = F.col("embedding").cast("array<double>")
     usable = ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0)
@@ -66,12 +69,17 @@ def match_chunks(
         if qs.empty or cs.empty:
             return pd.DataFrame(columns=columns)
         a, b = np.stack(qs["v"].to_numpy()), np.stack(cs["v"].to_numpy())
-        sims = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+        a_norms, b_norms = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         ids = cs["id"].to_numpy()
+        told = list(zip(qs["query_id"], qs["framework"]))
         rows = []
-        for i, (query, framework) in enumerate(zip(qs["query_id"], qs["framework"])):
-            for j in np.lexsort((ids, -sims[i]))[:k]:
-                rows.append((query, framework, ids[j], float(sims[i, j])))
+        for lo in range(0, len(a), QUERY_ROWS):
+            far = -((a[lo : lo + QUERY_ROWS] @ b.T) / np.outer(a_norms[lo : lo + QUERY_ROWS], b_norms))
+            for own, (query, framework) in zip(far, told[lo : lo + QUERY_ROWS]):
+                # Only the k nearest and their ties are sorted.
+                near = np.flatnonzero(~(own > np.partition(own, k - 1)[k - 1])) if len(own) > k else np.arange(len(own))
+                for j in near[np.lexsort((ids[near], own[near]))[:k]]:
+                    rows.append((query, framework, ids[j], float(-own[j])))
         return pd.DataFrame(rows, columns=columns)
 
     tile = [*key, "qb", "cb"]
