@@ -10,6 +10,10 @@ from ..operators.progress import DONE, SCANNERS
 from ..schemas import FINDING, FINDING_COLUMNS
 
 CLOSED = "audit_id string, opened_at timestamp, last_at timestamp, status string, nodes bigint, error string"
+OPEN_AUDIT = (
+    "first_us bigint, last_us bigint, "
+    "nodes array<struct<node string, us bigint, event_id bigint, status string, error_us bigint, error_id bigint, error string>>"
+)
 RELEASED = f"audit_id string, revision int, outcome string, missing array<string>, n_findings bigint, {FINDING}"
 
 #: Findings of an audit that go to its state at once.
@@ -28,46 +32,59 @@ def _closing(idle_us: int):
     from pyspark.sql.streaming import StatefulProcessor
     from pyspark.sql.types import Row
 
+    closed_row = Row(*(part.split(" ")[0] for part in CLOSED.split(", ")))
+
     class ClosingProcessor(StatefulProcessor):
-        """State of an open audit: the latest status of each node, and its first and last event."""
+        """State of an open audit: its first and last event, and the latest status of each node.
+
+        Each call to the state is a message to the executor, so an audit is read once a batch, worked on here and put
+        back once.  While there is state, one timer stands, at the time that follows from the last event.
+        """
 
         def init(self, handle):
             self.handle = handle
-            self.span = handle.getValueState("span", "first_us bigint, last_us bigint")
-            self.nodes = handle.getMapState("nodes", "node string", "us bigint, event_id bigint, status string, error_us bigint, error_id bigint, error string")
+            self.state = handle.getValueState("nodes", OPEN_AUDIT)
 
         def handleInputRows(self, key, rows, timerValues):
+            state = self.state.get()
+            first, last, nodes = (state[0], state[1], {v[0]: tuple(v)[1:] for v in state[2]}) if state is not None else (None, None, {})
+            timer = None if last is None else self.due(last)
+            rows = list(rows)
+            names = rows[0].__fields__
+            columns = itemgetter(*map(names.index, ("at_us", "event_id", "node", "status", "error")))
             # An audit has a known number of nodes with a few events each.
-            for row in sorted(rows, key=lambda r: (r["at_us"], r["event_id"])):
-                at = row["at_us"]
-                span = self.span.get() if self.span.exists() else None
-                if span is not None and at > span[1] + idle_us:
-                    yield self.closed(key, span)
-                    span = None
-                self.span.update((at if span is None else span[0], at))
-                old = self.nodes.getValue((row["node"],)) if self.nodes.containsKey((row["node"],)) else None
-                error = (at, row["event_id"], row["error"]) if row["error"] is not None else (old[3:6] if old else (None, None, None))
-                self.nodes.updateValue((row["node"],), (at, row["event_id"], row["status"], *error))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((self.span.get()[1] + idle_us) // 1000 + 1)
+            for at, event_id, node, status, error in sorted(map(columns, rows), key=itemgetter(0, 1)):
+                if last is not None and at > last + idle_us:
+                    yield self.closed(key, first, last, nodes)
+                    first, nodes = None, {}
+                first, last = at if first is None else first, at
+                old = nodes.get(node)
+                told = (at, event_id, error) if error is not None else old[3:] if old else (None, None, None)
+                nodes[node] = (at, event_id, status, *told)
+            self.state.update((first, last, [(node, *v) for node, v in nodes.items()]))
+            if timer != self.due(last):
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(self.due(last))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.span.exists():
-                yield self.closed(key, self.span.get())
+            state = self.state.get()
+            if state is not None:
+                yield self.closed(key, state[0], state[1], {v[0]: tuple(v)[1:] for v in state[2]})
+                self.state.clear()
+
+        def due(self, last):
+            return (last + idle_us) // 1000 + 1
 
-        def closed(self, key, span):
-            states = [tuple(v) for _, v in self.nodes.iterator()]
+        def closed(self, key, first, last, nodes):
+            states = nodes.values()
             status = "running"
             if any(s[2] == "error" for s in states):
                 status = "error"
             elif all(s[2] in DONE for s in states):
                 status = "completed"
-            errors = [(s[3], s[4], s[5]) for s in states if s[5] is not None]
-            self.nodes.clear()
-            self.span.clear()
-            return Row(audit_id=key[0], opened_at=_at(span[0]), last_at=_at(span[1]), status=status, nodes=len(states),
-                       error=max(errors)[2] if errors else None)
+            errors = [s[3:] for s in states if s[5] is not None]
+            return closed_row(key[0], _at(first), _at(last), status, len(states), max(errors)[2] if errors else None)
 
         def close(self):
             pass
